@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, secrets, simhash
+from . import pieces, quality, secrets, simhash, toxicity
 from .common import read
 
 
@@ -14,6 +14,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
@@ -22,8 +27,14 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score_toxicity(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op4_simhash_near_dedup, op8_pieces)}
+    return {f.__name__: f for f in (op1_secret_scans, op3_quality, op4_simhash_near_dedup, op8_pieces, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
