@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, quality, secrets, simhash, toxicity
+from . import embed_dedup, pieces, quality, secrets, simhash, topk, toxicity
 from .common import read
 
 
@@ -23,6 +23,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(read(spark, sf_dir, "embeddings"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
@@ -34,7 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op3_quality, op4_simhash_near_dedup, op8_pieces, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scans, op3_quality, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_top_products, op8_pieces, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
