@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, pieces, quality, secrets, simhash, topk, toxicity
+from . import embed_dedup, packing, pieces, quality, secrets, simhash, topk, toxicity
 from .common import read
 
 
@@ -31,6 +31,10 @@ def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(read(spark, sf_dir, "embeddings"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
@@ -42,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op3_quality, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_top_products, op8_pieces, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scans, op3_quality, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_top_products, op7_packing, op8_pieces, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
