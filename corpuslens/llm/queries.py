@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embed_dedup, packing, pieces, quality, secrets, simhash, topk, toxicity
+from . import embed_dedup, packing, pieces, quality, secrets, simhash, topk, toxicity, urls, warc
 from .common import read
 
 
@@ -14,6 +15,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.train(pages))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -39,6 +45,12 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archive, then reads it; payloads are decoded and checked against their headers."""
+    found = warc.read_archive(spark, warc.write_archive(read(spark, sf_dir, "pages")), payload="verify")
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = toxicity.score_toxicity(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -46,8 +58,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op3_quality, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_top_products, op7_packing, op8_pieces, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_url_filters, op3_quality, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_top_products, op7_packing, op8_pieces, op9_warc, op10_toxicity)}
+
+
+OP9_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as n, sha1(b) as h from p),
+m as (select h, max(page_id) as last from d where n >= 1000 group by h)
+select d.page_id, d.n::bigint as payload_bytes, d.h as payload_digest,
+  case when m.last is not null and d.page_id is distinct from m.last then 'revisit' else 'response' end as record_type,
+  case when m.last is not null and d.page_id is distinct from m.last then m.last end as refers_to
+from d left join m on d.h = m.h and d.n >= 1000
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL}
