@@ -37,11 +37,6 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function that takes and gives record batches."""
-    return df.mapInArrow(fn, schema)
-
-
 def slices(batch: pa.RecordBatch, col: int, most_bytes: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of slices of a batch that hold about most_bytes of text; null texts come as empty ones."""
     column = batch.column(col)
@@ -52,6 +47,19 @@ def slices(batch: pa.RecordBatch, col: int, most_bytes: int = 8 << 20) -> Iterat
         at += step
 
 
+def change_rows(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch], most_bytes: int = 4 << 20) -> DataFrame:
+    """df with fn applied to slices of its batches; fn gets a slice with all columns and its texts, and gives rows of the
+    same columns. Rows never leave their partition."""
+    at_col = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch, at_col, most_bytes):
+                yield fn(batch.slice(at, len(texts)), texts)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of the column as text, modulo mod."""
     return F.crc32(col.cast("string").cast("binary")) % mod

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import change_rows, slices
 from .labelled import held_out, sample
 
 BUCKETS = 1 << 16
@@ -164,3 +164,15 @@ def score_quality(docs: DataFrame, model: Machine, folds: int = 3, fold: int = 1
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_score_batches(model), f"id {kind}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Machine, text_col: str = "text", chars_col: str | None = "n_chars", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is at least `least`, with all their columns and without a shuffle."""
+    at = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        declared = batch.column(at).to_pylist() if at is not None else [None] * len(texts)
+        rows = [features(t, d) for t, d in zip(texts, declared, strict=True)]
+        return batch.filter(pa.array(model.scores([r[0] for r in rows], np.array([r[1] for r in rows])) >= least))
+
+    return change_rows(docs, text_col, run)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import change_rows, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -110,3 +110,24 @@ def scan_secrets(docs: DataFrame, ranks_file: str, id_col: str = "doc_id", text_
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_run(ranks_file, most_chars_per_token), f"id {kind}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string")
     return out.withColumnRenamed("id", id_col)
+
+
+def redact_documents(docs: DataFrame, ranks_file: str, text_col: str = "text", chars_col: str | None = "n_chars", most_chars_per_token: float = 2.2) -> DataFrame:
+    """docs with marks in place of the secrets of their texts, and chars_col set to the new length where a text changed;
+    all other rows and columns stay as they are. No shuffle."""
+    text_at = docs.columns.index(text_col)
+    chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        changed = {k: redact(t, s) for k, t in enumerate(texts) if (s := spans_of(t, ranks_file, most_chars_per_token))}
+        if not changed:
+            return batch
+        columns = list(batch.columns)
+        old = columns[text_at]
+        columns[text_at] = pa.array([changed.get(k, t) for k, t in enumerate(old.to_pylist())], old.type)
+        if chars_at is not None:
+            n = columns[chars_at]
+            columns[chars_at] = pa.array([len(changed[k]) if k in changed else x for k, x in enumerate(n.to_pylist())], n.type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return change_rows(docs, text_col, run)

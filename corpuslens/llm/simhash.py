@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, table
 from .components import connected_components, local_roots
 
 BITS = 64
@@ -213,3 +213,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of = named.select("fp", "component").join(lows, "component").select("fp", "component_id")
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
+    """The rows of docs that represent their near-duplicate class, with all their columns: those with the smallest id.
+
+    Where ids are null or repeated, row numbers take their place, so that one row of each class stays in any case.
+    """
+    seen = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("ids")).first()
+    if seen["n"] == seen["ids"]:
+        classes = simhash_components(docs.select(id_col, text_col), id_col, text_col, width, budget)
+        return docs.join(classes.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi").select(docs.columns)
+    numbered = table(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    classes = simhash_components(numbered.select("number", F.col("row")[text_col].alias("text")), "number", "text", width, budget)
+    return numbered.join(classes.where("number = component_id").select("number"), "number", "left_semi").select("row.*")
