@@ -88,10 +88,10 @@ def rater_pairs(ratings: DataFrame, item: str = "item_id", rater: str = "rater",
 
 
 def pairwise_kappa(pairs: DataFrame, categories: int | None = None) -> DataFrame:
-    """Kappa of each pair of raters and, weighted by its items, their mean (a row with null raters)."""
+    """Kappa of each pair of raters and, weighted by its items, their mean over pairs that have one (a row with null raters)."""
     per = nominal(confusion(pairs, ["rater_a", "rater_b"]), ["rater_a", "rater_b"], categories)
     ok = F.col("kappa").isNotNull()
-    mean = per.agg(F.sum("total").alias("total"), (F.sum(F.when(ok, F.col("total") * F.col("exact"))) / F.sum(F.when(ok, F.col("total")))).alias("exact"), (F.sum(F.when(ok, F.col("total") * F.col("kappa"))) / F.sum(F.when(ok, F.col("total")))).alias("kappa"), F.lit(None).cast("double").alias("ac1"))
+    mean = per.agg(F.sum("total").alias("total"), (F.sum(F.col("total") * F.col("exact")) / F.sum("total")).alias("exact"), (F.sum(F.when(ok, F.col("total") * F.col("kappa"))) / F.sum(F.when(ok, F.col("total")))).alias("kappa"), F.lit(None).cast("double").alias("ac1"))
     return per.unionByName(mean.select(F.lit(None).cast("string").alias("rater_a"), F.lit(None).cast("string").alias("rater_b"), "total", "exact", "kappa", "ac1"))
 
 
