@@ -53,11 +53,11 @@ def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("lookup"), F.col("o_orderkey").alias("pos"))
 
 
-@register("""with m as (select l_orderkey as key, floor(l_quantity)::int as width, l_linenumber::int * 10 as height, l_linenumber as pos from lineitem), f as (select key, min_by(width, pos) as width, min_by(height, pos) as height from m group by 1),
+@register("""with m as (select l_orderkey as key, floor(l_quantity)::int as width, l_linenumber::int * 10 as height, l_linenumber::bigint * 10000000 + l_partkey as pos from lineitem), f as (select key, min_by(width, pos) as width, min_by(height, pos) as height from m group by 1),
 j as (select f.key is not null as found, coalesce(least(width, height) >= 10, false) as ok from orders left join f on o_orderkey = f.key)
 select count(*) filter (found and ok) as matched, count(*) filter (not found) as missing, count(*) filter (found and not ok) as rejected from j""")
 def pair_manifest_counts(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.floor("l_quantity").cast("int").alias("width"), (F.col("l_linenumber").cast("int") * 10).alias("height"), F.col("l_linenumber").alias("pos"))
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.floor("l_quantity").cast("int").alias("width"), (F.col("l_linenumber").cast("int") * 10).alias("height"), (F.col("l_linenumber").cast("long") * 10000000 + F.col("l_partkey")).alias("pos"))
     return pairing.attach_manifest(_local(spark, sf_dir), m, 10)[1]
 
 
