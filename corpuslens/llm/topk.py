@@ -54,10 +54,12 @@ class Queries:
         """Raise the bounds to the k-th score among some candidates."""
         for at in range(0, len(self.ids), 256):
             own = slice(at, at + 256)
-            s = np.where(self.ids[own][:, None] == ids[None], np.iinfo(np.int64).min, products(self.x[own], x))
-            if s.shape[1] > self.k:
-                kth = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1].astype(float)
-                self.bound[own] = np.maximum(self.bound[own], np.where(kth > -(2.0**62), kth, -np.inf))
+            s = products(self.x[own], x).astype(float)
+            s[self.ids[own][:, None] == ids[None]] = -np.inf
+            if s.shape[1] >= self.k:
+                # a float of a long may lie above it by rounding
+                kth = np.partition(s, -self.k, axis=1)[:, -self.k]
+                self.bound[own] = np.maximum(self.bound[own], kth - np.abs(kth) * 2.0**-50)
 
 
 def search(q: Queries, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,7 +93,8 @@ def search(q: Queries, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Itera
                 old_ids, old = kept[n]
                 kept[n] = best(np.concatenate((old_ids, ids[cols[hit]])), np.concatenate((old, s[hit])), q.k)
                 if len(kept[n][1]) == q.k:
-                    q.bound[n] = max(q.bound[n], float(kept[n][1][-1]))
+                    kth = float(kept[n][1][-1])
+                    q.bound[n] = max(q.bound[n], kth - abs(kth) * 2.0**-50)
     for n, (ids, scores) in enumerate(kept):
         if len(ids):
             yield np.full(len(ids), n), ids, scores
