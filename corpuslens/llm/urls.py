@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 #: (verdict, host/path)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Labelled URLs that the trees are fitted on at most, and buckets of the suffix statistics.
@@ -149,7 +151,7 @@ def train(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     rate = np.full((2, BUCKETS), 0.5)
     for r in counts:
         rate[r["kind"], r["bucket"]] = (r["blocked"] + 1) / (r["n"] + 2)
-    some = known.orderBy(F.xxhash64("url"), "url").limit(most).select("url", "host", "path", "blocked").collect()
+    some = hash_sample(known, most, "url").select("url", "host", "path", "blocked").collect()
     x = np.array([features(r["url"], r["host"], r["path"], rate) for r in some], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["blocked"] for r in some], float), rate)
 
