@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hash_sample
 from .vectors import by_length
 
 SCALE = 1024
@@ -156,10 +156,13 @@ def top_products(vectors: DataFrame, queries: DataFrame | None = None, k: int =
     out, first = [], 0
     for d, n in sorted(counts.items()):
         own = rows.where(F.col("d") == d)
-        some = by_length(own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks())
+        some = by_length(hash_sample(own, SAMPLE, "id").select("vec").toArrow().column("vec").combine_chunks())
         x = some[0][1] if some else np.zeros((1, d))
         rotation = np.linalg.svd(x.T @ x)[0]
-        seeds = own.orderBy(F.desc("norm"), "id").limit(SEEDS).select("id", "vec").toArrow().combine_chunks()
+        # candidates for the seeds: those over a norm that about twice as many rows reach
+        size = own.count()
+        least = own.agg(F.percentile_approx("norm", max(0.0, 1 - 2 * SEEDS / size), 10_000)).first()[0] if size else 0.0
+        seeds = own.where(F.col("norm") >= least).orderBy(F.desc("norm"), "id").limit(SEEDS).select("id", "vec").toArrow().combine_chunks()
         seeds_x = by_length(seeds.column("vec").combine_chunks())
         parts = -(-n // QUERIES)
         for part in range(parts):
