@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, hash_sample
 
 
 def held_out(id_col: str, folds: int, fold: int):
@@ -20,4 +20,4 @@ def sample(labels: DataFrame, label_col: str, folds: int, fold: int, most: int,
     """
     known = labels.where(~held_out(id_col, folds, fold)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     agreed = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high")
-    return agreed.select("id", "label").orderBy(F.xxhash64("id"), "id").limit(most)
+    return hash_sample(agreed.select("id", "label"), most, "id")
