@@ -155,3 +155,25 @@ def trimmed_mean(df: DataFrame, by: list[str], value: str, trim: float = 0.1) ->
     r = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w).alias("rn"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
     k = F.floor(F.col("n") * trim)
     return r.where((F.col("n") - 2 * k <= 0) | ((F.col("rn") > k) & (F.col("rn") <= F.col("n") - k))).groupBy(*by).agg(F.avg(value).alias("value"))
+
+
+def judge_records(ans: DataFrame, pos: str = "pos") -> DataFrame:
+    """By judge and question: the last answer, how many rows there were, and whether they disagreed."""
+    return ans.groupBy("judge", "question_id").agg(F.max_by("answer", pos).alias("answer"), F.count("*").alias("rows"), (F.count_distinct("answer") > 1).alias("conflict"))
+
+
+def candidate_pool(claim_rows: DataFrame, records: DataFrame, judges: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Claims (question_id, ...) with an answer of every judge about the same image, as (question_id, ..., <judge>...), and the
+    counts of what was rejected: answers missing, images that differ.
+
+    records has (judge, question_id, answer, image_key); a judge's answers are pivoted to one row a question before the join.
+    """
+    wide = records.where(F.col("judge").isin(*judges)).groupBy("question_id").agg(
+        *[F.max(F.when(F.col("judge") == j, F.col("answer"))).alias(j) for j in judges], F.count_distinct(F.coalesce("image_key", F.lit(""))).alias("images"),
+    )
+    full = F.lit(True)
+    for j in judges:
+        full = full & F.col(j).isNotNull()
+    j = claim_rows.join(wide, "question_id", "left").withColumn("full", F.coalesce(full, F.lit(False))).withColumn("same", F.coalesce(F.col("images") == 1, F.lit(False)))
+    counts = j.agg(F.count("*").alias("claims"), F.count_if(F.expr("full and same")).alias("joined"), F.count_if(F.expr("not full")).alias("missing_answer"), F.count_if(F.expr("full and not same")).alias("image_differs"))
+    return j.where("full and same").drop("full", "same", "images"), counts

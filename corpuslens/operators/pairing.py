@@ -124,3 +124,15 @@ def set_difference(expected: DataFrame, observed: DataFrame) -> DataFrame:
 def overlaps(df: DataFrame, member: str, group: str) -> DataFrame:
     """Members that stand in more than one group; empty where the groups are disjoint."""
     return df.groupBy(member).agg(F.count_distinct(group).alias("groups")).where("groups > 1")
+
+
+def build_pairs(local: DataFrame, manifest: DataFrame, public: DataFrame, least_edge: int, most: int | None = None, seed: int = 0, name: str = "pairs") -> tuple[DataFrame, DataFrame]:
+    """The whole pairing: local (key, lookup, caption, pos) through the manifest's size gate, then to its public caption, at most
+    `most` in hash order. Returns (pair_id, key, lookup, caption, public_caption, width, height) and the counts of all stages."""
+    gated, counts = attach_manifest(local, manifest, least_edge)
+    paired = attach_public(gated, public)
+    out = paired.select(X.pair_id(F.lit(name), F.col("key").cast("string"), F.col("lookup").cast("string")).alias("pair_id"), "key", "lookup", "caption", "public_caption", "width", "height")
+    counts = counts.join(F.broadcast(out.agg(F.count("*").alias("paired"))))
+    if most is not None:
+        out = out.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "pair_id"), 256), "pair_id").limit(most)
+    return out, counts

@@ -85,3 +85,24 @@ def extraction_status(rows: DataFrame) -> DataFrame:
 def same_prefix(first: DataFrame, second: DataFrame, columns: list[str]) -> bool:
     """Whether every row of the first stands in the second as often."""
     return first.select(*columns).exceptAll(second.select(*columns)).isEmpty()
+
+
+def verify_requests(claims: DataFrame, images: DataFrame) -> DataFrame:
+    """(caption_id, image_url, image_path, units): claims of a caption with ids caption:u0000, and where its image is; captions
+    without claims or image are left out."""
+    ident = lambda i: F.concat(F.col("caption_id").cast("string"), F.lit(":u"), F.lpad(i.cast("string"), 4, "0"))
+    units = F.transform("claims", lambda c, i: F.struct(ident(i).alias("unit_id"), c["category"].alias("category"), F.trim(c["unit"]).alias("unit"), c["target"].alias("target")))
+    j = claims.where(F.size("claims") > 0).join(images.select("caption_id", "image_url", "image_path"), "caption_id")
+    return j.where("image_url is not null or image_path is not null").select("caption_id", "image_url", "image_path", units.alias("units"))
+
+
+def caption_requests(rows: DataFrame, prompt: str) -> DataFrame:
+    """(request_id, image, prompt): one request for each image, by the first of path, URL and row number that is there."""
+    image = F.coalesce(F.nullif(F.trim("image_path"), F.lit("")), F.nullif(F.trim("image_url"), F.lit("")), F.concat(F.lit("row:"), F.col("row").cast("string")))
+    first = rows.select(image.alias("image"), "row").groupBy("image").agg(F.min("row").alias("row"))
+    return first.select(hashing.blake2b(F.concat(F.lit("caption:"), "image"), 16).alias("request_id"), "image", F.lit(prompt).alias("prompt"))
+
+
+def at_rows(requests: DataFrame, source: DataFrame) -> DataFrame:
+    """Requests with the source row (source_row, ...) that they name."""
+    return requests.join(source, "source_row")

@@ -236,3 +236,23 @@ def paired_deltas(pairs: DataFrame, budget: int = 64, k: int = 100) -> DataFrame
     long_rows = wide.select("surface", "id", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics.items()])).alias("m")).select("surface", "id", "m.*")
     sign = F.when(F.col("surface") == "local", F.col("value")).otherwise(-F.col("value"))
     return mean_ci(long_rows.groupBy("metric", "id").agg(F.sum(sign).alias("delta")), ["metric"], "delta")
+
+
+def truncation(sizes: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """From (surface, n), token counts of any tokenizer: the share over each limit, and the 50th, 90th, 95th and 99th nearest-rank
+    quantiles at (n - 1) q, rounded half to even."""
+    w = Window.partitionBy("surface")
+    r = sizes.withColumn("rn", F.row_number().over(w.orderBy("n"))).withColumn("rows", F.count("*").over(w))
+    quantiles = [F.max(F.when(F.col("rn") - 1 == F.rint((F.col("rows") - 1) * q), F.col("n"))).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)]
+    return r.groupBy("surface").agg(F.count("*").alias("captions"), F.max("n").alias("max_n"), *quantiles, *[(F.sum((F.col("n") > b).cast("long")) / F.count("*")).alias(f"over_{b}") for b in limits])
+
+
+def word_lengths(frame: DataFrame) -> DataFrame:
+    """By surface: mean, median, least and most white-space words of captions with any."""
+    n = frame.select("surface", F.size(X.words(F.col("text"))).alias("n")).where("n > 0")
+    return n.groupBy("surface").agg(F.count("*").alias("captions"), F.avg("n").alias("mean_words"), F.percentile("n", 0.5).alias("median_words"), F.min("n").alias("min_words"), F.max("n").alias("max_words"))
+
+
+def accept_by_hash(key: Column) -> Column:
+    """A down-sampling rule whose threshold lets practically every hash pass; kept as what it does."""
+    return key.isNotNull()

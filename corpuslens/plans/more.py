@@ -565,3 +565,45 @@ def source_index(spark, sf_dir):
 @register("""select 'text' as used_field, count(*) as n from documents where trim(coalesce(text, '')) <> ''""")
 def source_fields(spark, sf_dir):
     return io.load_captions(table(spark, sf_dir, "documents")).groupBy("used_field").agg(F.count("*").alias("n"))
+
+
+# ---- More of the above -------------------------------------------------------------------------------------------
+@register(f"""with {JUDGES}, k as (select judge, request_id as question_id, answer, question_id || answer as pos from ja) select judge, question_id, max_by(answer, pos) as answer, count(*) as rows, count(distinct answer) > 1 as conflict from k group by 1, 2""")
+def judge_records(spark, sf_dir):
+    ans = judge_answers(spark, sf_dir).select("judge", F.col("request_id").alias("question_id"), "answer", F.concat("question_id", "answer").alias("pos"))
+    return claims.judge_records(ans)
+
+
+@register(f"""with {JUDGES}, r as (select judge, question_id, max(answer) as answer, max(case when judge = 'j1' then request_id % 50 else request_id % 51 end)::varchar as img from ja group by 1, 2),
+w as (select question_id, max(answer) filter (judge = 'j1') as j1, max(answer) filter (judge = 'j2') as j2, count(distinct img) as images from r group by 1), c as (select distinct question_id from jb),
+j as (select coalesce(j1 is not null and j2 is not null, false) as f, coalesce(images = 1, false) as s from c left join w using (question_id)) select count(*) as claims, count(*) filter (f and s) as joined, count(*) filter (not f) as missing_answer, count(*) filter (f and not s) as image_differs from j""")
+def judge_candidate_pool(spark, sf_dir):
+    ans = judge_answers(spark, sf_dir)
+    img = F.when(F.col("judge") == "j1", F.col("request_id") % 50).otherwise(F.col("request_id") % 51).cast("string")
+    rec = ans.withColumn("img", img).groupBy("judge", "question_id").agg(F.max("answer").alias("answer"), F.max("img").alias("image_key"))
+    return claims.candidate_pool(ans.select("question_id").distinct(), rec, ("j1", "j2"))[1]
+
+
+@register(f"""with {core.CAP}, r as (select surface, len(toks) as n from cap), q as (select *, row_number() over (partition by surface order by n) - 1 as i, count(*) over (partition by surface) as c from r)
+select surface, count(*) as captions, max(n)::int as max_n, """ + ", ".join(f"max(n) filter (i = round_even((c - 1) * {q}, 0))::int as p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + ", " + ", ".join(f"round(count(*) filter (n > {b}) / count(*), 6) as over_{b}" for b in (77, 248, 512)) + " from q group by 1")
+def survey_truncation(spark, sf_dir):
+    from ..operators import survey
+
+    return rounded(survey.truncation(core.by_lang(spark, sf_dir).select("surface", F.size("toks").alias("n")), (77, 248, 512)))
+
+
+@register(rf"""with {core.CAP}, r as (select surface, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) as n from cap) select surface, count(*) as captions, round(avg(n), 6) as mean_words, quantile_cont(n, 0.5) as median_words, min(n)::int as min_words, max(n)::int as max_words from r where n > 0 group by 1""")
+def survey_word_lengths(spark, sf_dir):
+    from ..operators import survey
+
+    return rounded(survey.word_lengths(core.by_lang(spark, sf_dir)))
+
+
+@register("""with m as (select l_orderkey as key, floor(l_quantity)::int as width, l_linenumber::int * 10 as height, l_linenumber::bigint * 10000000 + l_partkey as pos from lineitem), f as (select key, min_by(width, pos) as width, min_by(height, pos) as height from m group by 1),
+g as (select o_orderkey as key, o_custkey as lookup, width, height from orders join f on o_orderkey = key where least(width, height) >= 10), h as (select lookup, max(key) as key from g group by 1)
+select sha1('pairs' || chr(0) || h.key::varchar || chr(0) || h.lookup::varchar) as pair_id, h.key, h.lookup, c_name as public_caption from h join customer on c_custkey = h.lookup""")
+def pair_build(spark, sf_dir):
+    local = _local(spark, sf_dir).withColumn("caption", F.lit("x"))
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.floor("l_quantity").cast("int").alias("width"), (F.col("l_linenumber").cast("int") * 10).alias("height"), (F.col("l_linenumber").cast("long") * 10000000 + F.col("l_partkey")).alias("pos"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lookup"), F.col("c_name").alias("caption"), F.col("c_custkey").alias("pos"))
+    return pairing.build_pairs(local, m, c, 10)[0].select("pair_id", "key", "lookup", "public_caption")
