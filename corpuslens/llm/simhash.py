@@ -210,7 +210,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
     linked = connected_components(near_edges(classes.select("fp"), budget)).withColumnRenamed("id", "fp")
     named = classes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    # cut, so that the join reads two plain exchanges and a hot component's rows can be split
+    lows = cut(named.groupBy("component").agg(F.min("low").alias("component_id")))
     of = named.select("fp", "component").join(lows, "component").select("fp", "component_id")
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
