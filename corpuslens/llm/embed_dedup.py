@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hash_sample
 from .components import connected_components, local_roots
 from .vectors import by_length
 
@@ -152,7 +152,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     # the most frequent length is the one that gets cells
     length = classes.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     n = length["count"] if length else 0
-    some = classes.where(F.size("vec") == (length["d"] if length else 0)).orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
+    some = hash_sample(classes.where(F.size("vec") == (length["d"] if length else 0)), SAMPLE, "uid").select("vec").toArrow().column("vec").combine_chunks()
     some = some.chunk(0) if isinstance(some, pa.ChunkedArray) and some.num_chunks else some
     parts = by_length(some) if n else []
     centroids = kmeans(parts[0][1], int(np.clip(n // PER_CELL, 1, MOST_CELLS))) if parts else np.zeros((1, 1))
@@ -168,7 +168,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     linked = connected_components(found.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "uid")
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     named = classes.select("uid", "size", "low", "h", "vec").join(linked, "uid", "left").join(links, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    # cut, so that the join reads two plain exchanges and a hot component's rows can be split
+    lows = cut(named.groupBy("component").agg(F.min("low").alias("component_id")))
     of = named.join(lows, "component").select("h", "vec", "component_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     done = good.join(of, ["h", "vec"]).select("id", "n_links", "component_id")
     done = done.unionByName(rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
