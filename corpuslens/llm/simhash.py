@@ -19,6 +19,8 @@ ALL = (1 << BITS) - 1
 #: Distinct fingerprints that one task takes for one bucket; larger buckets are split.
 MOST = 1000
 LEVELS = 3
+#: Rows of buckets that a task takes about.
+TASK_ROWS = 20_000
 
 
 def fingerprints_of(texts: list[str], width: int = 3, chunk: int = 1 << 16) -> np.ndarray:
@@ -194,7 +196,9 @@ def near_edges(fps: DataFrame, budget: int = 3, most: int = MOST, levels: int =
     work = jobs[0]
     for job in jobs[1:]:
         work = work.unionByName(job)
-    return work.repartition("g").sortWithinPartitions("g").mapInArrow(_bucket_edges(budget), "a long, b long")
+    # by rows, not bytes: a row is 16 bytes but stands for many node pairs
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * n // TASK_ROWS))
+    return work.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_bucket_edges(budget), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
