@@ -1,10 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: an exact prefix-filter join, each candidate verified."""
+"""Sets of word shingles: an exact prefix-filter join by Jaccard similarity, each candidate verified."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +17,58 @@ from .components import connected_components
 WIDTH, LEAST = 5, Fraction(4, 5)
 #: Documents that show which shingles are frequent, about; how often such a shingle stands there; how many count at most.
 #: They only set the order of the shingles: results are the same by any order.
-SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 3, 200_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 200_000
 #: Rows of one shingle that a task compares at once; larger groups go to tasks by pairs of blocks.
 BLOCK = 1000
 #: Bits of the parity sketch of a set.
 SKETCH = 1024
-
-
-def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of the shingles of a text, sorted; words and shingles as in simhash.fingerprints_of."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, max(1, len(words) - width + 1)))
+#: Words whose hashes a worker keeps; then it starts anew.
+CACHED = 1_000_000
+
+
+class WordHashes(dict):
+    """XXH64 (seed 42) of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_hashes = WordHashes()
+
+
+def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles: `width` words in a row, the whole sequence if it
+    is shorter, none for a text without words. Words are as in simhash.fingerprints_of. A shingle's hash mixes its
+    words' hashes, each multiplied by its own odd constant, so that all texts of a slice are hashed at once."""
+    if len(_hashes) > CACHED:
+        _hashes.clear()
+    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    n = int(sizes.sum())
+    flat = np.concatenate([np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)) for w in words] + [np.zeros(width, np.uint64)])
+    factors = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) & 0xFFFFFFFFFFFFFFFF | 1) for k in range(width)]
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> np.uint64(33))
+
+    full = np.full(n, width, np.uint64)
+    for k, f in enumerate(factors):
+        full += flat[k : k + n] * f
+    full = mixed(full)
+    out, at = [], 0
+    for size in sizes.tolist():
+        if size >= width:
+            out.append(np.unique(full[at : at + size - width + 1]))
+        elif size:
+            own = flat[at : at + size] * np.array(factors[:size])
+            out.append(mixed(own.sum(keepdims=True) + np.uint64(size)))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += size
+    return out
 
 
 def class_of(s: np.ndarray) -> int:
@@ -65,42 +102,42 @@ def may_reach(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, leas
     return shared * (p + q) >= p * (n + m)
 
 
-def _classes(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in slices(batch, 1):
-                sets = [shingle_set(t, width) for t in texts]
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["id", "class", "n", "sketch"])
-
-    return run
-
-
 def _counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch, 0):
-                token, n = np.unique(np.concatenate([shingle_set(t, width) for t in texts]), return_counts=True)
+                token, n = np.unique(np.concatenate(shingle_sets(texts, width)), return_counts=True)
                 yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
     return run
 
 
-def _prefixes(width: int, frequent: np.ndarray, least: Fraction):
+def frequent_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
+    """The shingles of the column text that are frequent in a sample by hash of ids, sorted; n is the number of rows."""
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, n)))).select("text")
+    often = some.mapInArrow(_counts(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    return np.sort(often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy().view(np.uint64))
+
+
+HASHED = "id long, class long, n long, fp long, sketch binary, first array<long>"
+
+
+def hashed(width: int, frequent: np.ndarray, least: Fraction, fingerprints):
+    """HASHED of rows (id, text): of the set its class, size, fingerprint, sketch and first shingles. First shingles are
+    null where the task has given those of an equal set already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, texts in slices(batch, 0):
-                tokens, classes, sizes = [np.empty(0, np.uint64)], [], []
-                for t in texts:
-                    s = shingle_set(t, width)
-                    if (c := class_of(s)) not in seen:
-                        seen.add(c)
-                        tokens.append(prefix(s, frequent, least))
-                        classes.append(c)
-                        sizes.append(len(s))
-                many = [len(t) for t in tokens[1:]]
-                at = np.concatenate([np.empty(0, np.int64), *(np.arange(m) for m in many)])
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int64), many)), pa.array(at)], names=["token", "class", "n", "at"])
+            for at, texts in slices(batch, 1):
+                sets = shingle_sets(texts, width)
+                classes = [class_of(s) for s in sets]
+                first = []
+                for c, s in zip(classes, sets, strict=True):
+                    first.append(None if c in seen else prefix(s, frequent, least).view(np.int64))
+                    seen.add(c)
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fingerprints(sets).view(np.int64))]
+                yield pa.record_batch([*columns, pa.array([sketch(s) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["id", "class", "n", "fp", "sketch", "first"])
 
     return run
 
@@ -187,7 +224,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch, 1):
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())], names=["class", "set"])
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["class", "set"])
 
     return run
 
@@ -205,28 +242,24 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_exact(least), "a long, b long"))
 
 
-def components(docs: DataFrame, width: int = WIDTH, least: Fraction = LEAST) -> DataFrame:
-    """(id, component_id) for docs (id, text) with distinct ids: the smallest id reachable over pairs of Jaccard
-    similarity `least` or more of their sets of `width`-word shingles.
+def components(docs: DataFrame, rows: DataFrame, seeds, width: int = WIDTH, least: Fraction = LEAST) -> DataFrame:
+    """(id, component_id) for docs (id, text) with distinct ids and their HASHED rows: the smallest id reachable over pairs
+    of Jaccard similarity `least` or more of their sets of `width`-word shingles.
 
-    Equal sets are one class before any comparison; texts without words are one class, and null texts are such. Of any
-    two sets similar enough, the first shingles of each (a fifth of them at 0.8) share one, in whatever order all sets
-    are sorted; with the frequent shingles last, few unlike sets meet. Pairs next to each other by size come first; what
-    these link need not be compared again, so that a large group of near copies costs no square of its size. Every
-    other pair that shares a first shingle follows. Bounds from sizes, places and sketches drop only pairs that cannot
-    be similar enough, and all others are counted exactly over the whole texts.
+    Equal sets are one class before any comparison; texts without words are one class, and null texts are such.
+    seeds(classes) gives pairs (a, b) of classes worth a look first. Of any two sets similar enough, the first shingles
+    of each (a fifth of them at 0.8) share one, in whatever order all sets are sorted; with the frequent shingles last,
+    few unlike sets meet. Pairs next to each other by size come with the seeds; what these link need not be compared
+    again, so that a large group of near copies costs no square of its size. Every other pair that shares a first
+    shingle follows. Bounds from sizes, places and sketches drop only pairs that cannot be similar enough, and all
+    others are counted exactly over the whole texts.
     """
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, n)))).select("text")
-    often = some.mapInArrow(_counts(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = np.sort(often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy().view(np.uint64))
-    rows = cut(docs.select("id", "text").mapInArrow(_classes(width), "id long, class long, n long, sketch binary"))
-    classes = cut(rows.groupBy("class").agg(F.min("id").alias("low"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
-    firsts = docs.select("text").mapInArrow(_prefixes(width, frequent, least), "token long, class long, n long, at long").select("token", "n", "class", "at")
+    classes = cut(rows.groupBy("class").agg(F.min("id").alias("low"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")))
+    firsts = rows.where("first is not null").select(F.posexplode("first").alias("at", "token"), "class", "n").select("token", "n", "class", F.col("at").cast("long").alias("at"))
     shared = cut(firsts.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(_shared, "token long, n long, class long, at long, n0 long, class0 long, at0 long"))
-    next_to = shared.where("class0 is not null").select(F.least("class", "class0").alias("a"), F.greatest("class", "class0").alias("b")).distinct()
-    links = _verified(next_to, classes, docs, width, least)
-    linked = connected_components(links).select(F.col("id").alias("class"), "component")
+    next_to = shared.where("class0 is not null").select(F.least("class", "class0").alias("a"), F.greatest("class", "class0").alias("b"))
+    links = _verified(next_to.unionByName(seeds(classes)).distinct(), classes, docs, width, least)
+    linked = cut(connected_components(links).select(F.col("id").alias("class"), "component"))
     open_rows = shared.select("token", "n", "class", "at").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     sizes = cut(open_rows.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "blocks"))
     dealt = open_rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -235,22 +268,8 @@ def components(docs: DataFrame, width: int = WIDTH, least: Fraction = LEAST) ->
     rest = dealt.repartition("g").sortWithinPartitions("g", "n").mapInArrow(_pairs(least), "a long, b long").distinct()
     links = links.unionByName(_verified(rest, classes, docs, width, least))
     linked = connected_components(links).select(F.col("id").alias("class"), "component")
-    named = classes.select("class", "low").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    # cut, so that the join reads two plain exchanges and a hot component's rows can be split
+    named = cut(classes.select("class", "low").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class")))
+    # cut, so that the joins read plain exchanges and the rows of a hot component or class can be split
     lows = cut(named.groupBy("component").agg(F.min("low").alias("component_id")))
-    of = named.join(lows, "component").select("class", "component_id")
+    of = cut(named.join(lows, "component").select("class", "component_id"))
     return rows.select("id", "class").join(of, "class").select("id", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: Fraction = LEAST) -> DataFrame:
-    """The rows of docs that represent their near-duplicate component, with all their columns: those with the smallest id.
-
-    Where ids are null or repeated, row numbers take their place, so that one row of each component stays in any case.
-    """
-    seen = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("ids")).first()
-    if seen["n"] == seen["ids"]:
-        found = components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), width, least)
-        return docs.join(found.where("id = component_id").select(F.col("id").alias(id_col)), id_col, "left_semi").select(docs.columns)
-    numbered = table(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
-    found = components(numbered.select(F.col("number").alias("id"), F.col("row")[text_col].cast("string").alias("text")), width, least)
-    return numbered.join(found.where("id = component_id").select(F.col("id").alias("number")), "number", "left_semi").select("row.*")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import cut, slices, table
 from .components import connected_components, local_roots
 
@@ -30,45 +32,56 @@ def fingerprints_of(texts: list[str], width: int = 3, chunk: int = 1 << 16) -> n
     space, repeats included, the whole sequence if it is shorter; a text without words gets zero. A bit is set if it is
     set in over half of the XXH64 (seed 42) of the shingles.
     """
-    out = np.zeros(len(texts), np.uint64)
-    hashes: list[np.ndarray] = []
+
+    def hashes() -> Iterator[np.ndarray]:
+        for text in texts:
+            words = text.encode("utf-8", "surrogatepass").lower().split()
+            if not words:
+                yield np.empty(0, np.uint64)
+            elif len(words) < width:
+                yield np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+            else:
+                shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
+                yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(words) - width + 1)
+
+    return majorities(hashes(), chunk)
+
+
+def majorities(hashes: Iterable[np.ndarray], chunk: int = 1 << 16) -> np.ndarray:
+    """For each array of hashes the value whose bits are those set in over half of them; zero for an empty one."""
+    out: list[int] = []
+    held: list[np.ndarray] = []
     owners: list[int] = []
-    held = 0
+    size = 0
 
     def flush() -> None:
-        nonlocal held
+        nonlocal size
         if not owners:
             return
-        sizes = np.array([len(h) for h in hashes])
-        bits = np.unpackbits(np.concatenate(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sizes = np.array([len(h) for h in held])
+        bits = np.unpackbits(np.concatenate(held).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0, dtype=np.int32)
-        out[owners] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        hashes.clear()
+        for i, v in zip(owners, np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0].tolist(), strict=True):
+            out[i] = v
+        held.clear()
         owners.clear()
-        held = 0
+        size = 0
 
-    for i, text in enumerate(texts):
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            continue
-        if len(words) < width:
-            h = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-        else:
-            shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
-            h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(words) - width + 1)
+    for h in hashes:
+        out.append(0)
         if len(h) > chunk:  # a very long text is summed by parts
             ones = np.zeros(BITS, np.int64)
             for k in range(0, len(h), chunk):
-                ones += np.unpackbits(h[k : k + chunk].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[i] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
-            continue
-        hashes.append(h)
-        owners.append(i)
-        held += len(h)
-        if held >= chunk:
-            flush()
+                ones += np.unpackbits(np.ascontiguousarray(h[k : k + chunk]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            out[-1] = int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+        elif len(h):
+            held.append(h)
+            owners.append(len(out) - 1)
+            size += len(h)
+            if size >= chunk:
+                flush()
     flush()
-    return out
+    return np.array(out, np.uint64)
 
 
 def trie_pairs(values: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,15 +233,55 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of docs that represent their near-duplicate class, with all their columns: those with the smallest id.
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = jaccard.WIDTH, least: Fraction = jaccard.LEAST, budget: int = 3) -> DataFrame:
+    """(id, component_id) per row of docs with distinct ids: classes of Jaccard similarity `least` or more.
 
-    Where ids are null or repeated, row numbers take their place, so that one row of each class stays in any case.
+    SimHash fingerprints of the sets of `width`-word shingles meet in the trie self-join; its pairs are linked only if
+    their exact similarity reaches `least`. No budget that a 64-bit trie can be searched with finds all such pairs (at
+    0.8 they differ in ten bits on average), so an exact prefix-filter join over the same shingles adds the links that
+    the fingerprints miss, between texts that are not linked yet. A null or empty text has no words; all such are one
+    class. An empty table gives an empty result; other columns are ignored.
     """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    frequent = jaccard.frequent_shingles(docs, docs.count(), width)
+    rows = table(docs.mapInArrow(jaccard.hashed(width, frequent, least, majorities), jaccard.HASHED), "hashed")
+
+    def trie(classes: DataFrame) -> DataFrame:
+        """Pairs of classes with near fingerprints, through one class of each fingerprint."""
+        first = cut(classes.groupBy("fp").agg(F.min("class").alias("first")))
+        same = classes.join(first, "fp").where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
+        near = near_edges(first.select("fp"), budget)
+        near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        both = same.unionByName(near)
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    return jaccard.components(docs, rows, trie, width, least)
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str, components) -> DataFrame:
+    """The rows of docs that represent their component; components(docs, id_col, text_col) gives (id, component_id)."""
     seen = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("ids")).first()
     if seen["n"] == seen["ids"]:
-        classes = simhash_components(docs.select(id_col, text_col), id_col, text_col, width, budget)
-        return docs.join(classes.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi").select(docs.columns)
+        found = components(docs.select(id_col, text_col), id_col, text_col)
+        return docs.join(found.where("id = component_id").select(F.col("id").alias(id_col)), id_col, "left_semi").select(docs.columns)
     numbered = table(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
-    classes = simhash_components(numbered.select("number", F.col("row")[text_col].alias("text")), "number", "text", width, budget)
-    return numbered.join(classes.where("number = component_id").select("number"), "number", "left_semi").select("row.*")
+    found = components(numbered.select("number", F.col("row")[text_col].alias("text")), "number", "text")
+    return numbered.join(found.where("id = component_id").select(F.col("id").alias("number")), "number", "left_semi").select("row.*")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
+    """The rows of docs that represent their class of simhash_components, with all their columns: those with the smallest id.
+
+    Where ids are null or repeated, row numbers take their place, so that one row of each class stays in any case. Null
+    and empty texts are as in simhash_components; an empty table stays empty.
+    """
+
+    def found(df: DataFrame, own_id: str, own_text: str) -> DataFrame:
+        return simhash_components(df, own_id, own_text, width, budget).select(F.col(own_id).alias("id"), "component_id")
+
+    return _kept(docs, id_col, text_col, found)
+
+
+def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = jaccard.WIDTH, least: Fraction = jaccard.LEAST, budget: int = 3) -> DataFrame:
+    """The same with the components of similar_components: near copies by exact similarity, found by SimHash first."""
+    return _kept(docs, id_col, text_col, lambda df, own_id, own_text: similar_components(df, own_id, own_text, width, least, budget))

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from corpuslens.llm import jaccard
+from corpuslens.llm import jaccard, simhash
 
 
 def brute_set(text, width=5):
@@ -62,8 +62,8 @@ def test_stage_equals_brute_force(spark, monkeypatch, block):
 
 def test_odd_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "one two three four five six"), (3, "one two three four five six"), (3, "another text"), (None, None)], "doc_id long, text string")
-    assert sorted(r.text or "" for r in jaccard.keep_one(docs).collect()) == ["", "another text", "one two three four five six"]
-    assert jaccard.keep_one(docs.limit(0)).count() == 0
+    assert sorted(r.text or "" for r in simhash.keep_dissimilar(docs).collect()) == ["", "another text", "one two three four five six"]
+    assert simhash.keep_dissimilar(docs.limit(0)).count() == 0
 
 
 def test_stage_on_the_documents(spark, sf_dir):
