@@ -6,37 +6,84 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a
+    temporary folder; on a cluster, whose executors would not see it, that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-"))
-            own = spark.sparkContext.getCheckpointDir()
-        path = own
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-"))
+        path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
+def own_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends or by clean()."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _fs(spark, path)[0].deleteOnExit(_fs(spark, path)[1])
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the intermediate tables and checkpoints of this session; results that still read them must be written before."""
+    paths, own = list(_made), spark.sparkContext.getCheckpointDir()
+    _made.clear()
+    if own:
+        at = _fs(spark, own)
+        paths += [str(x.getPath()) for x in at[0].listStatus(at[1])] if at[0].exists(at[1]) else []
+    for path in paths:
+        fs, at = _fs(spark, path)
+        fs.delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
+    path, sc = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return df.checkpoint(eager=True)
 
 
 def table(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again; for wide rows this is far smaller than a checkpoint."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = own_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gather(rows: DataFrame, col: str, most_bytes: int, tag: str) -> pa.Table:
+    """The rows (id, ...) of a bounded sample with distinct ids at the driver, by id: by hash of id as many as hold
+    most_bytes in the binary column, the first one in any case. The rest never leaves the executors."""
+    kept = table(rows, tag)
+    sizes = kept.select("id", F.xxhash64("id").alias("h"), F.coalesce(F.octet_length(col), F.lit(0)).cast("long").alias("n")).toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
+    total = np.cumsum(sizes.column("n").to_numpy())
+    if len(total) and total[-1] > most_bytes:
+        most = max(1, int(np.searchsorted(total, most_bytes, side="right")))
+        last = (sizes.column("h")[most - 1].as_py(), sizes.column("id")[most - 1].as_py())
+        h = F.xxhash64("id")
+        kept = kept.where((h < last[0]) | ((h == last[0]) & (F.col("id") <= last[1])))
+    return kept.toArrow().sort_by("id")
+
+
 def slices(batch: pa.RecordBatch, col: int, most_bytes: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of slices of a batch that hold about most_bytes of text; null texts come as empty ones."""
     column = batch.column(col)
@@ -69,12 +116,15 @@ def hash_sample(df: DataFrame, most: int, *cols: str) -> DataFrame:
     """At most `most` rows, those with the smallest hashes of the columns.
 
     A count comes first and a share of the hash range that holds about half as many rows again, so that what tasks sort
-    and send stays near the sample's own size, however many tasks there are.
+    and send stays near the sample's own size, however many tasks there are. Where equal rows share hashes and too few
+    stand in that share, all rows are sorted instead: the sample is the same by either way.
     """
     order = F.shiftrightunsigned(F.xxhash64(*cols), 11)
     n = df.count()
     if n > 2 * most:
-        df = df.where(order < int(2**53 * 1.5 * most / n))
+        some = df.where(order < int(2**53 * 1.5 * most / n))
+        if some.count() >= most:
+            df = some
     return df.orderBy(order, *cols).limit(most)
 
 
