@@ -13,10 +13,13 @@ from .common import cut, hash_sample
 from .components import connected_components, local_roots
 from .vectors import by_length
 
-#: Vectors that the centroids are fitted on at most, vectors a cell on average, cells at most.
-SAMPLE, PER_CELL, MOST_CELLS = 20_000, 256, 2048
-#: Cells that a vector stands in at most, itself the nearest, and vectors of a cell that one block holds.
-VISITS, BLOCK = 3, 1024
+#: Vectors a cell on average and cells at most; vectors that the centroids are fitted on: LEAST_SAMPLE, or SEEN for each cell.
+PER_CELL, MOST_CELLS, LEAST_SAMPLE, SEEN, SAMPLE_BYTES = 256, 16_384, 20_000, 10, 128 << 20
+#: Cells that a vector stands in at most, itself the nearest (None: all that could hold a neighbour), and inner nodes of
+#: the centroids' tree that are opened for it.
+VISITS, BEAM = 3, 4
+#: Bytes of the vectors of a block, and rows that are multiplied at once.
+BLOCK_BYTES, TILE = 16 << 20, 1024
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -45,25 +48,55 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     return c
 
 
-def cells_of(x: np.ndarray, centroids: np.ndarray, least: float, visits: int = VISITS) -> np.ndarray:
-    """The nearest cells of unit rows, -1 where there is none: a cell counts only if a vector within the least cosine
-    could have it as its nearest, that is if its angle is not over the nearest's by twice the angle of that cosine."""
-    sims = np.clip(x @ centroids.T, -1, 1)
-    k = min(visits, sims.shape[1])
-    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    angle = np.arccos(np.take_along_axis(sims, top, 1))
-    return np.where(angle <= angle.min(1, keepdims=True) + 2 * np.arccos(least), top, -1)
+class Cells:
+    """Unit centroids as the leaves of a tree of two levels: the inner nodes cluster a sample, the leaves each node's part."""
 
-
-def _assign(centroids: np.ndarray, least: float):
+    def __init__(self, x: np.ndarray, k: int) -> None:
+        x = unit(x)
+        self.inner = kmeans(x, max(1, round(k**0.5)))
+        near = (x @ self.inner.T).argmax(1)
+        leaves = [kmeans(x[near == n], max(1, round(k * (near == n).mean()))) if (near == n).any() else self.inner[n : n + 1] for n in range(len(self.inner))]
+        self.leaves, self.start = np.concatenate(leaves), np.cumsum([0, *map(len, leaves)])
+
+    def of(self, x: np.ndarray, least: float, visits: int | None = VISITS) -> list[list[int]]:
+        """The cells of unit rows, the nearest first. A vector within the least cosine can have another cell as its
+        nearest only if the bisecting plane of both centroids is no farther than two such vectors are apart. With visits,
+        that many of these cells at most, looked for in the BEAM nearest nodes; without, all of them, which loses no
+        pair."""
+        reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+        out: list[list[int]] = []
+        if visits is None:
+            for row in x:
+                sims = self.leaves @ row
+                top = int(sims.argmax())
+                gap = np.linalg.norm(self.leaves - self.leaves[top], axis=1)
+                out.append([top, *(c for c in np.flatnonzero(sims[top] - sims <= reach * gap).tolist() if c != top)])
+            return out
+        nodes = np.argsort(-(x @ self.inner.T), axis=1, kind="stable")[:, :BEAM]
+        best, cell = np.full((len(x), visits), -np.inf), np.full((len(x), visits), -1)
+        for n in np.unique(nodes).tolist():
+            own = np.flatnonzero((nodes == n).any(1))
+            for at in range(0, len(own), 4096):
+                rows = own[at : at + 4096]
+                sims = x[rows] @ self.leaves[self.start[n] : self.start[n + 1]].T
+                both = np.concatenate((best[rows], sims), 1)
+                names = np.concatenate((cell[rows], np.broadcast_to(np.arange(self.start[n], self.start[n + 1]), sims.shape)), 1)
+                top = np.argsort(-both, axis=1, kind="stable")[:, :visits]
+                best[rows], cell[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+        gap = np.linalg.norm(self.leaves[cell] - self.leaves[cell[:, :1]], axis=2)
+        fits = (cell >= 0) & (best[:, :1] - best <= reach * gap)
+        return [row[ok].tolist() for row, ok in zip(cell, fits, strict=True)]
+
+
+def _assign(cells: Cells | None, least: float, visits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in by_length(batch.column(2)):
-                if x.shape[1] != centroids.shape[1]:
-                    cells = np.zeros((len(rows), 1), np.int64)  # other lengths are compared among themselves
+                if cells is None or x.shape[1] != cells.leaves.shape[1]:
+                    own = [[0]] * len(rows)  # other lengths are compared among themselves
                 else:
-                    cells = cells_of(unit(x), centroids, least)
-                yield pa.record_batch([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array([[int(c) for c in r if c >= 0] for r in cells], pa.list_(pa.int32())), batch.column(2).take(pa.array(rows))], names=["uid", "size", "cells", "vec"])
+                    own = cells.of(unit(x), least, visits)
+                yield pa.record_batch([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(own, pa.list_(pa.int32())), batch.column(2).take(pa.array(rows))], names=["uid", "size", "cells", "vec"])
 
     return run
 
@@ -72,26 +105,31 @@ def _block_links(least: float):
     def links(own: np.ndarray, weight: np.ndarray, block: np.ndarray, cells: np.ndarray, cell: int, x: np.ndarray):
         """One cell and pair of blocks: (uid, weight of the others linked here, smallest uid reached here)."""
         x = unit(x)
-        low, pairs = block.min(), []
+        low, count, root = block.min(), np.zeros(len(own)), np.arange(len(own))
         left = np.flatnonzero(block == low)
         right = np.flatnonzero(block != low)
         same = not len(right)
         right = left if same else right
-        for at in range(0, len(left), BLOCK):
-            a = left[at : at + BLOCK]
-            for to in range(0, len(right), BLOCK):
-                b = right[to : to + BLOCK]
+        for at in range(0, len(left), TILE):
+            a = left[at : at + TILE]
+            for to in range(at if same else 0, len(right), TILE):
+                b = right[to : to + TILE]
                 i, j = np.nonzero(x[a] @ x[b].T >= least)
                 i, j = a[i], b[j]
                 keep = i < j if same else np.ones(len(i), bool)
                 i, j = i[keep], j[keep]
                 # a pair that meets in several cells counts in the first one
-                shared = (cells[i][:, :, None] == cells[j][:, None, :]) & (cells[i] >= 0)[:, :, None]
-                first = np.where(shared.any(2), cells[i], np.iinfo(np.int32).max).min(1) if len(i) else np.empty(0)
-                pairs.append((i[first == cell], j[first == cell]))
-        i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
-        count = np.bincount(i, weight[j], len(own)) + np.bincount(j, weight[i], len(own))
-        root = local_roots(len(own), i, j)
+                if cells.shape[1] > 1:
+                    first = np.full(len(i), np.iinfo(np.int32).max)
+                    for k in range(cells.shape[1]):
+                        mine = cells[i, k]
+                        first = np.where((mine >= 0) & (cells[j] == mine[:, None]).any(1), np.minimum(first, mine), first)
+                    i, j = i[first == cell], j[first == cell]
+                # counted and contracted at once, so that a cell of near vectors holds no list of its pairs
+                count += np.bincount(i, weight[j], len(own)) + np.bincount(j, weight[i], len(own))
+                r, c = np.unique(np.sort(root[np.stack((i, j))], axis=0), axis=1) if len(i) else (i, j)
+                if len(r):
+                    root = local_roots(len(own), r, c)[root]
         hit = np.flatnonzero(count)
         return own[hit], count[hit].astype(np.int64), own[root[hit]]
 
@@ -104,8 +142,9 @@ def _block_links(least: float):
             t = pa.Table.from_batches(held).combine_chunks()
             column = t.column("vec").chunk(0)
             parts = []
-            wide = np.full((len(t), VISITS), -1)
-            for k, c in enumerate(t.column("cells").to_pylist()):
+            lists = t.column("cells").to_pylist()
+            wide = np.full((len(t), max(map(len, lists))), -1)
+            for k, c in enumerate(lists):
                 wide[k, : len(c)] = c
             for rows, x in by_length(column):
                 pick = lambda name, rows=rows: t.column(name).to_numpy()[rows]
@@ -131,12 +170,14 @@ def _block_links(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, visits: int | None = VISITS) -> DataFrame:
     """Per row (id_col, n_links, component_id, kept): the others at a cosine of `least` or more.
 
-    Centroids are fitted on at most SAMPLE vectors; all vectors are put into cells, each into its nearest and up to two
-    more that a neighbour could have as its nearest, and compared exactly, in double precision, with all of a cell.
-    Equal vectors are one class before any comparison. A cell larger than a block is dealt out as pairs of blocks.
+    Centroids, one for PER_CELL vectors up to MOST_CELLS, are fitted on a bounded sample; all vectors are put into
+    cells, each into its nearest and up to `visits` - 1 more that a neighbour could have as its nearest, and compared
+    exactly, in double precision, with all of a cell. With visits=None a vector stands in every cell that could hold a
+    neighbour, and no pair is lost. Equal vectors are one class before any comparison. A cell of more than a block is
+    dealt out as pairs of blocks; a block holds BLOCK_BYTES of vectors.
 
     component_id is the smallest id reachable, kept whether that is the row's own. Vectors that are null, empty, zero
     or hold null or non-finite components link with nothing and stay alone; vectors of other lengths than the sample's
@@ -152,15 +193,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     # the most frequent length is the one that gets cells
     length = classes.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     n = length["count"] if length else 0
-    some = hash_sample(classes.where(F.size("vec") == (length["d"] if length else 0)), SAMPLE, "uid").select("vec").toArrow().column("vec").combine_chunks()
+    d = length["d"] if length else 1
+    k = int(np.clip(n // PER_CELL, 1, MOST_CELLS))
+    most = int(min(max(LEAST_SAMPLE, SEEN * k), max(k, SAMPLE_BYTES // (8 * d))))
+    some = hash_sample(classes.where(F.size("vec") == d), most, "uid").select("vec").toArrow().column("vec").combine_chunks()
     some = some.chunk(0) if isinstance(some, pa.ChunkedArray) and some.num_chunks else some
     parts = by_length(some) if n else []
-    centroids = kmeans(parts[0][1], int(np.clip(n // PER_CELL, 1, MOST_CELLS))) if parts else np.zeros((1, 1))
+    cells = Cells(parts[0][1], k) if parts else None
     vec = classes.schema["vec"].dataType.simpleString()
-    assigned = classes.select("uid", "size", "vec").mapInArrow(_assign(centroids, least), f"uid long, size long, cells array<int>, vec {vec}")
+    assigned = classes.select("uid", "size", "vec").mapInArrow(_assign(cells, least, visits), f"uid long, size long, cells array<int>, vec {vec}")
     placed = cut(assigned.withColumn("d", F.size("vec")).select("*", F.explode("cells").alias("cell")))
     # how many blocks a cell has: at most MOST_CELLS rows for each vector length
-    sizes = placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    room = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("d"))))
+    sizes = cut(placed.groupBy("d", "cell").agg(F.count("*").alias("n")).select("d", "cell", F.ceil(F.col("n") / room).cast("int").alias("blocks")))
     dealt = placed.join(sizes, ["d", "cell"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("d", "cell", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "cell", "block", "uid", "size", "cells", "vec")
