@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import hash_sample, table
 
 #: (verdict, host/path)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Labelled URLs that the trees are fitted on at most, and buckets of the suffix statistics.
+#: Different labelled URLs that the trees are fitted on at most, and buckets of the suffix statistics.
 TRAIN_ROWS, BUCKETS = 20_000, 1024
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "query_length", "fragment", "hyphens", "longest_segment", "upper_ratio", "top_suffix", "two_suffix")
 TOKEN = re.compile(r"[^/?#&=.]+")
@@ -83,19 +83,22 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rate: np.ndarray, trees: int = 40, depth: int = 3, shrink: float = 0.2, bins: int = 32, least: float = 5.0) -> Trees:
-    """Second-order boosting of the log loss over quantile bins. Without rows of both classes the score is constant."""
+def fit(x: np.ndarray, y: np.ndarray, rate: np.ndarray, weight: np.ndarray | None = None, trees: int = 40, depth: int = 3, shrink: float = 0.2, bins: int = 32, least: float = 5.0) -> Trees:
+    """Second-order boosting of the weighted log loss over quantile bins. Weights are how often a row stands in the table.
+    Without rows of both classes the score is constant."""
     model = Trees(rate=rate, depth=depth)
     if len(set(y.tolist())) < 2:
         model.base = 4.0 if len(y) and y[0] else -4.0
         return model
-    model.base = float(np.log(y.mean() / (1 - y.mean())))
+    w = np.ones(len(y)) if weight is None else weight.astype(float)
+    mean = float(np.average(y, weights=w))
+    model.base = float(np.log(mean / (1 - mean)))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     code = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], 1)
     logit = np.full(len(y), model.base)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-logit))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, h = w * (p - y), w * np.maximum(p * (1 - p), 1e-6)
         size = 2 ** (depth + 1) - 1
         feature, threshold, value = np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size)
         node = np.zeros(len(y), np.int64)
@@ -145,15 +148,17 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", most: int = TRAIN_ROWS) -> Trees:
     """The labelled URLs are those that a rule decides. Suffix statistics count all of them, by bucket; the trees are
-    fitted on at most `most`, those with the smallest hashes."""
+    fitted on at most `most` different ones, those with the smallest hashes, each weighted by its number of rows, so
+    that a URL that stands in very many rows is one row of the sample. Null URLs have no rule; an empty table, or one
+    without URLs of both verdicts, gives a constant score."""
     known = _judged(pages, id_col, url_col, rules).where("rule is not null").withColumn("blocked", _blocked(rules).cast("int"))
     counts = known.select("host", "blocked").mapInArrow(_statistics, "kind int, bucket int, blocked long, n long").groupBy("kind", "bucket").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")).collect()
     rate = np.full((2, BUCKETS), 0.5)
     for r in counts:
         rate[r["kind"], r["bucket"]] = (r["blocked"] + 1) / (r["n"] + 2)
-    some = hash_sample(known, most, "url").select("url", "host", "path", "blocked").collect()
+    some = hash_sample(table(known.groupBy("url", "host", "path", "blocked").agg(F.count("*").alias("n")), "labelled-urls"), most, "url").collect()
     x = np.array([features(r["url"], r["host"], r["path"], rate) for r in some], float).reshape(-1, len(FEATURES))
-    return fit(x, np.array([r["blocked"] for r in some], float), rate)
+    return fit(x, np.array([r["blocked"] for r in some], float), rate, np.array([r["n"] for r in some], float))
 
 
 def _verdicts(model: Trees, blocks: frozenset):
