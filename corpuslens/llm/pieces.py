@@ -19,6 +19,9 @@ SPACE = "▁"
 NONE = np.iinfo(np.int64).max
 #: Words that a worker keeps with their ids; then it starts anew.
 CACHED = 400_000
+#: Characters of a segment from which on it is merged by a heap: a segment needs a round for each of its pair ranks, and a
+#: long unbroken one has thousands.
+LONG = 512
 
 
 class PieceCodec:
@@ -124,9 +127,18 @@ class PieceCodec:
         return out
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of segments. All segments go through the rounds together; each round merges, in every segment, all
-        leftmost non-overlapping occurrences of the segment's best pair and closes the gaps."""
+        """Ids of segments. All segments but those of LONG characters or more go through the rounds together; each round
+        merges, in every segment, all leftmost non-overlapping occurrences of the segment's best pair and closes the gaps."""
         out: list[list[int]] = [[] for _ in words]
+        for k, w in enumerate(words):
+            if len(w) >= LONG:
+                own = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                out[k] = self._one(self.of_char[own].tolist(), own.tolist())
+        short = [k for k, w in enumerate(words) if len(w) < LONG]
+        if len(short) < len(words):
+            for k, ids in zip(short, self.encode_words([words[k] for k in short]), strict=True):
+                out[k] = ids
+            return out
         if not words:
             return out
         char = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
