@@ -16,15 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import shared_dir
+from .common import cut, own_path
 
-SCHEMA = "id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+SCHEMA = "id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, record_id string, refers_to_id string"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()]
 PREFIX, ROW, MANIFEST = "urn:corpuslens:page:", "urn:corpuslens:row:", "_manifest.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes after which a task goes on with another file, and rows of a batch that the reader gives.
-FILE_BYTES, BATCH_ROWS = 64 << 20, 500
+#: Bytes after which a task goes on with another file; rows, and bytes of payloads, after which the reader gives a batch.
+FILE_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 500, 8 << 20
+#: Bytes of a read of a compressed file.
+READ_BYTES = 1 << 20
 #: Payloads shorter than this are always written whole.
 LEAST_BYTES = 1000
 
@@ -113,10 +115,137 @@ class Files(InputPartition):
         self.names = names
 
 
+class Stream:
+    """Bytes of an uncompressed file or of one of gzip members, read forwards by position."""
+
+    def __init__(self, raw, zipped: bool) -> None:
+        self.raw, self.zipped = raw, zipped
+        self.buffer, self.base, self.ended = b"", 0, False
+        self.inflate = zlib.decompressobj(31)
+
+    def _more(self, least: int) -> None:
+        if not self.zipped:
+            data = self.raw.read(max(least, 1 << 16))
+            self.ended = not data
+        else:
+            packed, data = self.inflate.unused_data or self.raw.read(READ_BYTES), b""
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+            if packed.strip(b"\0"):
+                data = self.inflate.decompress(packed)
+            elif not packed:
+                self.ended = True
+        self.buffer += data
+
+    def forget(self, at: int) -> None:
+        """Nothing before the position is asked for again; in an uncompressed file what is not read yet is passed by a seek."""
+        if at <= self.base + len(self.buffer):
+            self.buffer = self.buffer[at - self.base :]
+            self.base = at
+        elif not self.zipped:
+            self.raw.seek(at)
+            self.buffer, self.base = b"", at
+        else:
+            while not self.ended and at > self.base + len(self.buffer):
+                self.base += len(self.buffer)
+                self.buffer = b""
+                self._more(0)
+            self.buffer = self.buffer[max(0, at - self.base) :]
+            self.base = at
+
+    def take(self, at: int, n: int) -> bytes:
+        while not self.ended and len(self.buffer) < at - self.base + n:
+            self._more(at - self.base + n - len(self.buffer))
+        return self.buffer[at - self.base : at - self.base + n]
+
+    def header(self, at: int) -> bytes | None:
+        """What stands up to the next empty line, or None at the end of the file. Empty lines in front are passed."""
+        while True:
+            while not self.ended and len(self.buffer) - (at - self.base) < 4:
+                self._more(0)
+            rest = self.buffer[at - self.base :]
+            skip = len(rest) - len(rest.lstrip(b"\r\n"))
+            if skip:
+                at += skip
+                self.forget(at)
+                continue
+            break
+        if not rest:
+            return None
+        self.forget(at)
+        while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+            if self.ended:
+                raise ValueError("a WARC record is cut off")
+            self._more(len(self.buffer))
+        return self.buffer[:end]
+
+
+def headers(block: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in block.decode("utf-8", "surrogateescape").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += f" {line.strip()}"
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
+def _digest(value: str | None) -> str | None:
+    """sha1 in lower-case hex of a digest header in base32 or hex; other digests as they stand."""
+    kind, _, text = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return value
+    if len(text) == 40:
+        return text.lower()
+    try:
+        return base64.b32decode(text.upper()).hex()
+    except ValueError:
+        return value
+
+
+def _number(name: str) -> int | None:
+    tail = name.removeprefix(PREFIX)
+    return int(tail) if tail != name and tail.lstrip("-").isdigit() else None
+
+
+def entity(head: dict[str, str], body: bytes) -> bytes:
+    """An HTTP body without its transfer and content codings; an unknown coding is left as it stands."""
+    if "chunked" in head.get("transfer-encoding", "").lower():
+        out, at = [], 0
+        while (line := body.find(b"\r\n", at)) >= 0:
+            size = body[at:line].split(b";")[0].strip()
+            n = int(size, 16) if size else 0
+            if not n:
+                break
+            out.append(body[line + 2 : line + 2 + n])
+            at = line + 4 + n
+        body = b"".join(out)
+    coding = head.get("content-encoding", "").lower()
+    if body and coding in ("gzip", "x-gzip"):
+        return zlib.decompress(body, 47)
+    if body and coding == "deflate":
+        try:
+            return zlib.decompress(body)
+        except zlib.error:
+            return zlib.decompress(body, -15)
+    return body
+
+
 class Reader(DataSourceReader):
-    """A partition a file. Of each record the headers are parsed first; where the pushed predicates on record_type, id,
-    uri, refers_to or payload_digest fail, its block is passed over by a seek and neither read nor decoded. Option
-    payload: full (default), verify (decoded and checked, not returned) or none (never decoded)."""
+    """A partition a file: of an archive that this source has written those of its manifest, else the .warc and .warc.gz
+    files of the folder, or the one file that the path names.
+
+    Of each record the headers are parsed first; where the pushed predicates on record_type, id, uri, refers_to or
+    payload_digest fail, its block is passed over and not decoded, in an uncompressed file by a seek. Option payload:
+    full (default), verify (decoded and checked, not returned) or none (never decoded). Payloads of foreign responses
+    are the HTTP bodies without their codings, those of other foreign records their blocks; their sizes are known
+    without a payload only where nothing has to be decoded, else null. Only own payloads are checked: others' digests
+    may be of the coded body.
+    """
 
     def __init__(self, options: dict) -> None:
         self.path, self.payload = options["path"].rstrip("/"), options.get("payload", "full")
@@ -129,27 +258,36 @@ class Reader(DataSourceReader):
                 self.wanted.append((name, (f.value,)))
             elif isinstance(f, In) and name in NAMES[:5]:
                 self.wanted.append((name, tuple(f.value)))
-            elif isinstance(f, IsNotNull) and name in ("record_type", "payload_digest"):
+            elif isinstance(f, IsNotNull) and name == "record_type":
                 pass
             else:
                 yield f
 
     def partitions(self) -> list[Files]:
         fs, path = _fs(self.path)
-        with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
-            names = json.loads(f.read())
+        if fs.get_file_info(path).type == pafs.FileType.File:
+            return [Files([path])]
+        if fs.get_file_info(f"{path}/{MANIFEST}").type == pafs.FileType.File:
+            with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
+                names = [f"{path}/{x}" for x in json.loads(f.read())]
+        else:
+            names = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith((".warc", ".warc.gz")))
         return [Files([n]) for n in names] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        fs, path = _fs(self.path)
+        fs, _ = _fs(self.path)
         rows: list[tuple] = []
+        held = 0
         for name in partition.names:
-            with fs.open_input_file(f"{path}/{name}") as raw:
-                for row in self.records(raw):
+            with fs.open_input_file(name) as raw:
+                zipped = raw.read(2) == b"\x1f\x8b"
+                raw.seek(0)
+                for row in self.records(Stream(raw, zipped)):
                     rows.append(row)
-                    if len(rows) >= BATCH_ROWS:
+                    held += len(row[6] or b"")
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                         yield self.batch(rows)
-                        rows = []
+                        rows, held = [], 0
         if rows:
             yield self.batch(rows)
 
@@ -157,49 +295,37 @@ class Reader(DataSourceReader):
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)
 
-    def records(self, f) -> Iterator[tuple]:
-        size, at, buffer, base = f.size(), 0, b"", 0
-        while at < size:
-            # headers: a window of the file that is refilled only when the record's headers are not all in it
-            want = 4096
-            while True:
-                if at < base or at + 64 > base + len(buffer) or (end := buffer.find(b"\r\n\r\n", at - base)) < 0:
-                    f.seek(at)
-                    base, buffer = at, f.read(max(want, 1 << 16))
-                    if (end := buffer.find(b"\r\n\r\n")) < 0 and at + len(buffer) < size:
-                        want = max(want * 4, 1 << 18)
-                        continue
-                break
-            if end < 0:
-                raise ValueError("a WARC record is cut off")
-            lines = buffer[at - base : end].decode("utf-8", "surrogatepass").split("\r\n")
-            head = dict(x.split(": ", 1) for x in lines[1:])
-            start, length = base + end + 4, int(head["Content-Length"])
-            row = self.head_row(head)
+    def records(self, f: Stream) -> Iterator[tuple]:
+        at = 0
+        while (block := f.header(at)) is not None:
+            head = headers(block)
+            start, length = f.base + len(block) + 4, int(head["content-length"])
+            row, names = self.head_row(head)
             if all(dict(zip(NAMES, row, strict=False))[k] in v for k, v in self.wanted):
-                if start + length > base + len(buffer):
-                    f.seek(start)
-                    base, buffer = start, f.read(max(length + 4, 1 << 16))
-                block = buffer[start - base : start - base + length]
-                yield self.full_row(row, block)
-            at = start + length + 4
+                yield (*self.full_row(row, head, f.take(start, length)), *names)
+            at = start + length
+            f.forget(at)
 
     @staticmethod
-    def head_row(head: dict) -> tuple:
-        name, refers, uri = head["WARC-Record-ID"][1:-1], head.get("WARC-Refers-To", "")[1:-1], head.get("WARC-Target-URI")
-        digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-        return (int(name.removeprefix(PREFIX)) if name.startswith(PREFIX) else None, None if uri is None else _unline(uri), head["WARC-Type"], int(refers.removeprefix(PREFIX)) if refers else None, digest)
-
-    def full_row(self, row: tuple, block: bytes) -> tuple:
-        end = block.index(b"\r\n\r\n")
-        http = dict(x.split(": ", 1) for x in block[:end].decode().split("\r\n")[1:])
-        n, payload = int(http["X-Payload-Length"]), None
-        if row[2] == "response" and self.payload != "none":
-            payload = zlib.decompress(block[end + 4 :])
-            if len(payload) != n or hashlib.sha1(payload).hexdigest() != row[4]:
-                raise ValueError(f"the payload of record {row[0]} differs from its headers")
-            n = len(payload)
-        return (*row, n, payload if self.payload == "full" else None)
+    def head_row(head: dict) -> tuple[tuple, tuple]:
+        name, refers, uri = head.get("warc-record-id", "").strip("<>"), head.get("warc-refers-to", "").strip("<>"), head.get("warc-target-uri")
+        own = name.startswith((PREFIX, ROW))
+        uri = _unline(uri) if own and uri is not None else uri
+        return (_number(name), uri, head.get("warc-type"), _number(refers), _digest(head.get("warc-payload-digest"))), (name or None, refers or None)
+
+    def full_row(self, row: tuple, head: dict, block: bytes) -> tuple:
+        http, body = {}, block
+        if head.get("content-type", "").lower().startswith("application/http"):
+            end = block.find(b"\r\n\r\n")
+            http, body = headers(block[: end if end >= 0 else len(block)]), block[end + 4 :] if end >= 0 else b""
+        own = "x-payload-length" in http
+        if row[2] == "revisit" or self.payload == "none":
+            coded = "content-encoding" in http or "transfer-encoding" in http
+            return (*row, int(http["x-payload-length"]) if own else None if coded or row[2] == "revisit" else len(body), None)
+        payload = entity(http, body)
+        if own and (len(payload) != int(http["x-payload-length"]) or hashlib.sha1(payload).hexdigest() != row[4]):
+            raise ValueError(f"the payload of record {row[0]} differs from its headers")
+        return (*row, len(payload), payload if self.payload == "full" else None)
 
 
 class WarcSource(DataSource):
@@ -229,16 +355,19 @@ def write_archive(pages: DataFrame, path: str | None = None, id_col: str = "page
 
     Of rows with equal payloads (html in UTF-8, null as empty) of LEAST_BYTES or more, those with the largest id are
     responses, the others revisit it; shorter ones are all responses. A null id is never the largest, and a group
-    without ids is all responses. The largest id of a payload is aggregated before the shuffle and joined back, so that
-    a payload shared by many rows is no group in one task; shorter payloads are joined by a key of their own.
+    without ids is all responses. The largest id of a payload is aggregated before the shuffle; of payloads that stand
+    in several rows it is cut and joined back, so that the join reads two plain exchanges and Spark can split the rows
+    of a payload that very many pages share. Other payloads are joined by keys of their own. An empty table gives an
+    archive without records; repeated rows are records each; other columns are ignored.
     """
     spark = pages.sparkSession
     register(spark)
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = path or own_path(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("uri"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     large = F.col("payload_bytes") >= LEAST_BYTES
-    last = rows.where(large).groupBy("payload_digest").agg(F.max("id").alias("last")).where("last is not null").withColumnRenamed("payload_digest", "key")
+    last = rows.where(large).groupBy("payload_digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("last is not null and n > 1")
+    last = cut(last.select(F.col("payload_digest").alias("key"), "last"))
     rows = rows.withColumn("key", F.when(large, F.col("payload_digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("id", "uri").cast("string"))))
     rows = rows.join(last, "key", "left")
     revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
@@ -248,6 +377,6 @@ def write_archive(pages: DataFrame, path: str | None = None, id_col: str = "page
 
 
 def read_archive(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
-    """The records of an archive; predicates on header columns are pushed into the source."""
+    """The records of an archive, own or foreign, as in SCHEMA; predicates on header columns are pushed into the source."""
     register(spark)
     return spark.read.format("warc").option("payload", payload).load(path)
