@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import change_rows, slices
+from .common import change_rows, gather, slices
 from .labelled import held_out, sample
 
 BUCKETS = 1 << 16
-#: Labelled rows that the model is fitted on at most.
-TRAIN_ROWS = 4000
+#: Labelled rows that the model is fitted on at most, and bytes of their word buckets.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
 STATS = ("empty", "log_words", "word_length", "distinct_words", "top_word", "upper", "digits", "symbols", "spaces", "repeated_lines", "line_words", "sentence_ends", "log_declared", "declared_off")
 _BYTES = np.arange(256)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
@@ -132,13 +132,19 @@ def _declared(docs: DataFrame, chars_col: str | None):
     return F.col(chars_col).cast("long") if chars_col and chars_col in docs.columns else F.lit(None).cast("long")
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, fold: int = 1, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> Machine:
-    """Fit on at most `most` labelled rows outside the fold. The sample is small by that bound, so it is broadcast and
-    the texts stay where they are; only its features come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, fold: int = 1, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", most_bytes: int = TRAIN_BYTES) -> Machine:
+    """Fit on at most `most` labelled rows outside the fold, and fewer where their buckets hold more than `most_bytes`.
+
+    The sample is small by that bound, so it is broadcast and the texts stay where they are; only its features come to
+    the driver. A null or empty text is a row without words; of several rows with one id, the one with the smallest
+    features counts, whatever the order of rows; rows with a null id are not learned from. Without labelled rows of both
+    classes, empty tables included, the machine is constant.
+    """
     some = sample(labels, label_col, folds, fold, most, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _declared(docs, chars_col).alias("declared"))
     rows = rows.join(F.broadcast(some), "id").select("id", "label", "text", "declared")
-    got = rows.mapInArrow(_feature_batches, "id long, label int, buckets binary, stats array<double>").dropDuplicates(["id"]).toArrow().sort_by("id").to_pydict()
+    rows = rows.mapInArrow(_feature_batches, "id long, label int, buckets binary, stats array<double>").groupBy("id").agg(F.min(F.struct("buckets", "stats", "label")).alias("row"))
+    got = gather(rows.select("id", "row.*"), "buckets", most_bytes, "quality-sample").to_pydict()
     return fit([np.frombuffer(b, np.int64) for b in got["buckets"]], np.array(got["stats"]).reshape(-1, len(STATS)), np.array(got["label"], np.float64))
 
 
@@ -167,7 +173,11 @@ def score_quality(docs: DataFrame, model: Machine, folds: int = 3, fold: int = 1
 
 
 def keep_good(docs: DataFrame, model: Machine, text_col: str = "text", chars_col: str | None = "n_chars", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is at least `least`, with all their columns and without a shuffle."""
+    """The rows of docs whose score is at least `least`, with all their columns and without a shuffle.
+
+    A null or empty text scores by its statistics alone; null and repeated ids and repeated rows are judged each for
+    itself; a missing chars_col counts as unknown; an empty table stays empty.
+    """
     at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
