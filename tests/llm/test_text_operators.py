@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -70,6 +71,23 @@ def test_token_test_and_exclusions():
     assert [k for _, _, k in found] == ["random"] and secrets.redact(text, found) == "key [RANDOM] end"
 
 
+def test_parts_of_an_unbroken_string():
+    """A random part is found behind readable ones and beside base spans, without taking these; digests are left alone."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    key = "xK9fQ2mZ7pL4vB8nR3tW6yC1"
+    found = lambda text: [(text[s:e], k) for s, e, k in secrets.spans_of(text, ranks)]
+    for front in ("documents/private/settings/", "//example.com/download/files/reports/annual/", "access_key_id=", "a.b."):
+        for back in ("", "/end.html", "=", "/2024/01"):
+            assert found(f"see {front}{key}{back} there") == [(key, "random")]
+    assert found("xKbfQjmZhpLdvBznRgtWqyCw") == [("xKbfQjmZhpLdvBznRgtWqyCw", "random")]
+    assert found("xK9fQ2mZ7pL4vB8") == [("xK9fQ2mZ7pL4vB8", "random")]
+    assert found("wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzLKEY") == [("wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzLKEY", "random")]
+    assert found("sha1-2jmj7l5rSw0yVb/vlWAYkK/YBwk= sha256:47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=") == []
+    base = "f" * 32
+    assert found(f"{key}/{base}/{key}x") == [(key, "random"), (base, "hex"), (f"{key}x", "random")]
+    assert secrets.redact(f"//example.com/a/{key}/b", secrets.spans_of(f"//example.com/a/{key}/b", ranks)) == "//example.com/a/[RANDOM]/b"
+
+
 def test_secrets_frame(docs, none):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = secrets.scan_secrets(docs, ranks).collect()
@@ -171,6 +189,22 @@ def test_pieces_equal_the_library(codec, text):
     assert own.encode(text) == ids and own.decode([*ids, 2]) == library.decode([*ids, 2])
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCabcdef0123456789+/", "日本語é😀", "a", "ab"])
+def test_long_unbroken_texts_equal_the_library(codec, alphabet):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list(alphabet), 30_000)) + " end " + "".join(rng.choice(list(alphabet), pieces.LONG - 1))
+    own, library = codec
+    assert own.encode(text) == library.encode(text)
+
+
+def test_a_megabyte_without_a_space_is_no_matter_of_minutes(codec):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))
+    began = time.process_time()
+    codec[0].encode(text)
+    assert time.process_time() - began < 10
+
+
 def test_pieces_frame(docs, none, codec):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = pieces.encode_documents(docs, path, digests=True).collect()
@@ -203,6 +237,44 @@ def test_packing(docs, none):
     assert tuple(long_ids) in want
 
 
+def test_neighbours_are_those_of_bm25():
+    """The index against scores by the formula over every document, for all terms of the seed."""
+    rng = np.random.default_rng(9)
+    docs = [rng.zipf(1.3, int(rng.integers(1, 300))).clip(0, 3000).astype("<u2") for _ in range(150)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16).astype(float)
+    idf, mean = packing.inverse(df, len(docs)), float(np.mean([len(d) for d in docs]))
+    shard = packing.Shard(docs, idf, mean)
+    for seed in range(0, 150, 7):
+        want = []
+        for d in docs:
+            score = 0.0
+            for t in set(docs[seed].tolist()):
+                tf = int((d == t).sum())
+                score += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+            want.append(score)
+        assert np.allclose(shard.scores(seed), want, rtol=1e-4)
+        others = sorted((x for k, x in enumerate(want) if k != seed), reverse=True)
+        assert np.allclose([want[k] for k in shard.neighbours(seed)], others[: packing.NEIGHBOURS], rtol=1e-4)
+    used = int(shard.neighbours(0)[0])
+    shard.take(used, 10_000)
+    assert used not in shard.neighbours(0)
+
+
+def test_like_documents_share_a_shard(spark, monkeypatch):
+    """Documents on one subject stand far apart in the table and end up in the same sequences."""
+    from collections import defaultdict
+
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 2000)
+    rng = np.random.default_rng(8)
+    subjects = [["river water boat bridge", "stars planet orbit telescope", "bread oven flour baker", "court judge law trial"][k].split() for k in range(4)]
+    rows = [(k, " ".join(rng.choice(subjects[k % 4] * 2 + "the of and to in a is was".split(), 60))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    subjects_of = defaultdict(set)
+    for r in packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json"), window=256).collect():
+        subjects_of[r.sequence_id].add(r.doc_id % 4)
+    assert np.mean([len(x) for x in subjects_of.values()]) < 1.5
+
+
 @settings(max_examples=200, deadline=None)
 @given(text=ALPHABET)
 def test_words_equal_the_tokenizer(text):
@@ -219,6 +291,99 @@ def test_factorisation_machine_identity():
     assert np.isclose(m.parts(index, value, starts)[0][0], slow)
 
 
+def test_quality_scores_by_every_pair():
+    """A trained machine's scores of whole texts against the sum over all pairs of features."""
+    texts = [("some plain words here", 21), ("BUY NOW! $$$ NOW", 3), ("", None), ("word " * 40, 200), ("a b c d e f g", 13)] * 8
+    rows = [quality.features(t, d) for t, d in texts]
+    m = quality.fit([r[0] for r in rows], np.array([r[1] for r in rows]), np.arange(len(rows)) % 5 % 2.0, epochs=3)
+    got = m.scores([r[0] for r in rows[:5]], np.array([r[1] for r in rows[:5]]))
+    for k, (buckets, stats) in enumerate(rows[:5]):
+        x = {int(b): 1 / np.sqrt(len(buckets)) for b in buckets}
+        x |= {quality.BUCKETS + j: float(np.clip((s - m.mean[j]) / m.scale[j], -4, 4)) / np.sqrt(len(quality.STATS)) for j, s in enumerate(stats)}
+        z = m.w0 + sum(float(m.w[i]) * v for i, v in x.items())
+        names = list(x)
+        z += sum(float(m.v[i].astype(float) @ m.v[j].astype(float)) * x[i] * x[j] for a, i in enumerate(names) for j in names[a + 1 :])
+        assert np.isclose(got[k], 1 / (1 + np.exp(-z)), atol=1e-5)
+
+
+def brute_toxicity(net, text):
+    """The network's score of a text, position by position."""
+    words = [sum(net.table[h].astype(float) for h in toxicity.hashes(w)) for w in re.findall(r"\w+", text.lower())]
+    top = []
+    for f, bias in zip(net.filters, net.biases, strict=True):
+        for n in range(f.shape[2]):
+            z = [sum(float(words[p + j] @ f[j, :, n]) for j in range(f.shape[0])) + float(bias[n]) for p in range(len(words) - f.shape[0] + 1)]
+            top.append(max([0.0, *z]))
+    return 1 / (1 + np.exp(-(float(np.dot(top, net.out)) + net.out_bias)))
+
+
+def test_network_scores_by_position():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice("one two three four five six seven eight".split(), n)) for n in (0, 1, 2, 3, 9, 40)] * 4
+    rows, buckets = toxicity.index(texts)
+    net = toxicity.fit(rows, buckets, np.array([float("one two" in t) for t in texts]), epochs=4)
+    assert np.allclose(net.scores(rows, buckets), [brute_toxicity(net, t) for t in texts], atol=1e-4)
+
+
+def test_gradient_of_the_network(monkeypatch):
+    """A step against finite differences of the loss: with steps that return their gradients, one batch moves each
+    parameter by its slope."""
+    texts = ["one two three", "four five", "six", "one four six two"]
+    y = np.array([1.0, 0.0, 0.0, 1.0])
+    rows, buckets = toxicity.index(texts)
+    step = 1e-3
+
+    class Plain(toxicity.Adam):
+        def __call__(self, g, rows=slice(None)):
+            return step * g
+
+    def start(seed=5):
+        monkeypatch.setattr(toxicity, "Adam", lambda shape, rate: Zero())
+        return toxicity.fit(rows, buckets, y, epochs=1, batch=4, seed=seed)
+
+    class Zero:
+        def __call__(self, g, rows=slice(None)):
+            return 0 * g
+
+    before = start()
+    monkeypatch.setattr(toxicity, "Adam", Plain)
+    after = toxicity.fit(rows, buckets, y, epochs=1, batch=4)
+
+    def loss(net):
+        p = np.clip(net.scores(rows, buckets), 1e-9, 1 - 1e-9)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    eps = 1e-2
+    for name, index in (("filters", (1, 0, 2, 3)), ("filters", (0, 0, 1, 1)), ("biases", (2, 1)), ("out", (4,))):
+        slopes = []
+        for sign in (1, -1):
+            net = start()
+            target = getattr(net, name)
+            if name == "out":
+                target[index[0]] += sign * eps
+            else:
+                target[index[0]][index[1:]] += sign * eps
+            slopes.append(loss(net))
+        slope = (slopes[0] - slopes[1]) / (2 * eps)
+        pick = lambda net: getattr(net, name)[index[0]] if name == "out" else getattr(net, name)[index[0]][index[1:]]  # noqa: B023, E731
+        assert np.isclose((pick(before) - pick(after)) / step, slope, atol=2e-3)
+
+
+def test_repeated_ids_and_a_bound_on_bytes(spark, labelled):
+    """Several texts of one label's id give one training row whatever their order; a bound on bytes gives a smaller sample."""
+    d, la = labelled
+    more = d.union(d.selectExpr("doc_id", "concat('zzz ', text) as text", "lang", "n_chars"))
+    models = [quality.train(x, la) for x in (more.repartition(3), more.repartition(5, "text"))]
+    assert np.array_equal(models[0].w, models[1].w)
+    nets = [toxicity.train(x, la) for x in (more.repartition(3), more.repartition(5, "text"))]
+    assert np.array_equal(nets[0].table, nets[1].table)
+    from corpuslens.llm.common import gather
+
+    rows = spark.range(100).selectExpr("id", "cast(repeat('x', 10) as binary) as b")
+    assert gather(rows, "b", 200, "t").num_rows == 20 and gather(rows, "b", 1, "t").num_rows == 1 and gather(rows, "b", 10_000, "t").num_rows == 100
+    assert gather(rows.limit(0), "b", 5, "t").num_rows == 0
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     good, bad = "plain words of a calm text about gardens and rivers", "BUY!! NOW!! $$$ CLICK!! @@@"
