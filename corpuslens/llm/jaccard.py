@@ -160,31 +160,64 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+SHARED = "token long, n long, class long, at long, class0 long, class1 long"
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, n, class, at), sorted so: those of tokens of several classes, each with the row before it."""
-    for token, n, cls, at in _whole_groups(batches):
+    """Rows (token, n, class, at), sorted so: those of tokens of several classes, each with the class of the row before it
+    and the leader so far, the one with the smallest place of the token: the fewer rare shingles a set has, the nearer
+    it stands to what a group of near copies has in common. Of the rows of a token only the last one and the leader are
+    held."""
+    held = None  # the last row: (token, n, class, at, whether it is given out, class and place of the leader)
+    for batch in batches:
+        token, n, cls, at = (c.to_numpy() for c in batch.columns)
+        if not len(token):
+            continue
+        lead_cls, lead_at, given = cls, at, np.zeros(len(token), bool)
+        if held:
+            token, n, cls, at, given, lead_cls, lead_at = (np.concatenate(([x], y)) for x, y in zip(held, (token, n, cls, at, given, lead_cls, lead_at), strict=True))
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-        token, n, cls, at = token[new], n[new], cls[new], at[new]
+        token, n, cls, at, given, lead_cls, lead_at = (x[new] for x in (token, n, cls, at, given, lead_cls, lead_at))
         follows = np.concatenate(([False], token[1:] == token[:-1]))
-        some = follows | np.concatenate((follows[1:], [False]))
+        group = np.cumsum(~follows)
+        place = (group[-1] - group) * (int(lead_at.max()) + 1) + lead_at  # falls from group to group
+        least = np.minimum.accumulate(place)
+        leader = np.maximum.accumulate(np.where(np.concatenate(([True], place[1:] < least[:-1])), np.arange(len(place)), 0))
+        some = (follows | np.concatenate((follows[1:], [False]))) & ~given
         before = np.maximum(np.arange(len(token)) - 1, 0)
-        yield pa.record_batch([pa.array(x[some]) for x in (token, n, cls, at)] + [pa.array(x[before][some], mask=~follows[some]) for x in (n, cls, at)], names=["token", "n", "class", "at", "n0", "class0", "at0"])
+        pair = [pa.array(cls[before][some], mask=~follows[some]), pa.array(lead_cls[leader[before]][some], mask=~follows[some])]
+        yield pa.record_batch([*(pa.array(x[some]) for x in (token, n, cls, at)), *pair], names=["token", "n", "class", "at", "class0", "class1"])
+        held = (token[-1], n[-1], cls[-1], at[-1], bool(follows[-1]) or bool(given[-1]), lead_cls[leader[-1]], lead_at[leader[-1]])
+
+
+def sketches_allow(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least: Fraction) -> np.ndarray:
+    """Pairs whose sketches do not rule them out: at Jaccard p / q the sets differ in (q - p) / (q + p) of their sizes."""
+    p, q = least.numerator, least.denominator
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (q + p) <= (q - p) * (n + m)
+
+
+def _sketch_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def _pairs(least: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (g, n, class, at, component, block), sorted by g and n: the pairs of a g that may be similar enough, of
-        different components, and of different blocks where there are two."""
-        for g, n, cls, at, component, block in _whole_groups(batches):
+        """Rows (g, n, class, at, component, block, sketch), sorted by g and n: the pairs of a g that may be similar enough
+        by sizes, places and sketches, of different components, and of different blocks where there are two. A g has two
+        blocks at most."""
+        for g, n, cls, at, component, block, sketched in _whole_groups(batches):
+            x = np.frombuffer(b"".join(sketched.tolist()), np.uint64).reshape(len(g), -1)
             starts = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 two = block[s:e].min() != block[s:e].max()
-                for at_row in range(s, e, 256):
-                    i, j = np.nonzero(component[at_row : min(e, at_row + 256), None] != component[None, s:e])
+                for at_row in range(s, e, 64):
+                    i, j = np.nonzero(component[at_row : min(e, at_row + 64), None] != component[None, s:e])
                     i, j = i + at_row, j + s
                     ok = (i < j) & may_reach(n[i], at[i], n[j], at[j], least)
                     if two:
                         ok &= block[i] != block[j]
+                    i, j = i[ok], j[ok]
+                    ok = sketches_allow(x[i], x[j], n[i], n[j], least)
                     i, j = cls[i[ok]], cls[j[ok]]
                     if len(i):
                         yield pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
@@ -194,15 +227,10 @@ def _pairs(least: Fraction):
 
 def _by_sketch(least: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose sketches do not rule them out: at Jaccard p / q the sets differ in (q - p) / (q + p) of their sizes."""
-        p, q = least.numerator, least.denominator
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (3, 5))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            may = differ * (q + p) <= (q - p) * (b.column(2).to_numpy() + b.column(4).to_numpy())
-            yield b.select([0, 1]).filter(pa.array(may))
+            if b.num_rows:
+                may = sketches_allow(_sketch_rows(b.column(3)), _sketch_rows(b.column(5)), b.column(2).to_numpy(), b.column(4).to_numpy(), least)
+                yield b.select([0, 1]).filter(pa.array(may))
 
     return run
 
@@ -229,12 +257,17 @@ def _sets(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) of classes whose Jaccard similarity is `least` or more."""
+def _allowed(pairs: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) of classes whose sketches do not rule them out."""
     known = classes.select("class", "n", "sketch")
     for end in ("a", "b"):
         pairs = pairs.join(known.select(F.col("class").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
-    pairs = cut(pairs.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_by_sketch(least), "a long, b long"))
+    return pairs.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_by_sketch(least), "a long, b long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: Fraction) -> DataFrame:
+    """The pairs (a, b) of classes whose Jaccard similarity is `least` or more."""
+    pairs = cut(pairs)
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     asked = cut(ends.join(classes, "class").select("class", F.col("low").alias("id")))
     sets = table(docs.join(asked, "id").select("class", "text").mapInArrow(_sets(width), "class long, set binary"), "sets")
@@ -249,22 +282,24 @@ def components(docs: DataFrame, rows: DataFrame, seeds, width: int = WIDTH, leas
     Equal sets are one class before any comparison; texts without words are one class, and null texts are such.
     seeds(classes) gives pairs (a, b) of classes worth a look first. Of any two sets similar enough, the first shingles
     of each (a fifth of them at 0.8) share one, in whatever order all sets are sorted; with the frequent shingles last,
-    few unlike sets meet. Pairs next to each other by size come with the seeds; what these link need not be compared
-    again, so that a large group of near copies costs no square of its size. Every other pair that shares a first
-    shingle follows. Bounds from sizes, places and sketches drop only pairs that cannot be similar enough, and all
-    others are counted exactly over the whole texts.
+    few unlike sets meet. Each set is compared with the one before it by size and with a leader of each shared shingle,
+    together with the seeds; what these link need not be compared again, so that a large group of near copies makes no
+    square of pairs. Every other pair that shares a first shingle follows. Bounds from sizes, places and sketches drop
+    only pairs that cannot be similar enough, and all others are counted exactly over the whole texts.
     """
     classes = cut(rows.groupBy("class").agg(F.min("id").alias("low"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")))
     firsts = rows.where("first is not null").select(F.posexplode("first").alias("at", "token"), "class", "n").select("token", "n", "class", F.col("at").cast("long").alias("at"))
-    shared = cut(firsts.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(_shared, "token long, n long, class long, at long, n0 long, class0 long, at0 long"))
-    next_to = shared.where("class0 is not null").select(F.least("class", "class0").alias("a"), F.greatest("class", "class0").alias("b"))
-    links = _verified(next_to.unionByName(seeds(classes)).distinct(), classes, docs, width, least)
+    shared = cut(firsts.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(_shared, SHARED))
+    near = seeds(classes)
+    for other in ("class0", "class1"):
+        near = near.unionByName(shared.where(F.col(other).isNotNull()).select(F.least("class", other).alias("a"), F.greatest("class", other).alias("b")))
+    links = _verified(_allowed(near.distinct(), classes, least), classes, docs, width, least)
     linked = cut(connected_components(links).select(F.col("id").alias("class"), "component"))
     open_rows = shared.select("token", "n", "class", "at").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     sizes = cut(open_rows.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "blocks"))
     dealt = open_rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "n", "class", "at", "component", "block")
+    dealt = dealt.join(classes.select("class", "sketch"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "n", "class", "at", "component", "block", "sketch")
     rest = dealt.repartition("g").sortWithinPartitions("g", "n").mapInArrow(_pairs(least), "a long, b long").distinct()
     links = links.unionByName(_verified(rest, classes, docs, width, least))
     linked = connected_components(links).select(F.col("id").alias("class"), "component")
