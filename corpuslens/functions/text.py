@@ -45,8 +45,6 @@ SCRIPTS = {
     "cjk": r"[\x{3400}-\x{9fff}]",
     "emoji": r"[\x{1f300}-\x{1f5ff}\x{1f600}-\x{1f64f}\x{1f680}-\x{1f6ff}\x{1f700}-\x{1f77f}\x{1f780}-\x{1f7ff}\x{1f800}-\x{1f8ff}\x{1f900}-\x{1f9ff}\x{1fa00}-\x{1fa6f}\x{1fa70}-\x{1faff}]",
 }
-_KINDS = "image|picture|photo|illustration|artwork|scene"
-_VERBS = "shows?|depicts?|features?|presents?|displays?|contains?|captures?"
 #: Register codes: (severity, patterns); all patterns match by line. F counts repeated 5-grams instead.
 VIOLATIONS: dict[str, tuple[str, tuple[str, ...]]] = {
     "A_prose_coord_echo": ("critical", (r"\[\s*\d{2,4}\s*,\s*\d{2,4}\s*,\s*\d{2,4}\s*,\s*\d{2,4}\s*\]",)),
@@ -58,7 +56,7 @@ VIOLATIONS: dict[str, tuple[str, tuple[str, ...]]] = {
     "G_meta_instruction": ("low", (r"(?i)per (the )?instructions", r"(?i)as (instructed|requested|prompted)", r"(?i)following the (prompt|guidelines)", r"(?i)requirements?:")),
     "H_detection_meta_leak": ("moderate", (r"(?i)bounding box", r"(?i)detection (box|region|area)", r"(?i)confidence\s*[:=]\s*\d", r"(?i)detected at")),
     "I_overlay_meta_leak": ("moderate", (r"(?i)overlay", r"(?i)annotation layer", r"(?i)green rectangle", r"(?i)labeled box")),
-    "J_meta_statement": ("moderate", (rf"(?i)^the ({_KINDS}) ({_VERBS})", rf"(?i)^this ({_KINDS}) ({_VERBS})", r"(?i)^in this (image|picture|photo|illustration)", r"(?i)^we (can )?see ")),
+    "J_meta_statement": ("moderate", (r"(?i)^the (image|picture|photo|illustration|artwork|scene) (shows?|depicts?|features?|presents?|displays?|contains?|captures?)", r"(?i)^this (image|picture|photo|illustration|artwork|scene) (shows?|depicts?|features?|presents?|displays?|contains?|captures?)", r"(?i)^in this (image|picture|photo|illustration)", r"(?i)^we (can )?see ")),
     "K_qwen_bbox_echo": ("moderate", (r"bbox_2d", r'"type"\s*:\s*"bbox"')),
     "L_tag_verbatim": ("low", (r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]+_[\p{L}\p{N}_]+_[\p{L}\p{N}_]+(?![\p{L}\p{N}_])",)),
     "M_numbered_list_leak": ("low", (r"^\d+\.\s+[\p{L}\p{N}_]",)),
@@ -116,8 +114,8 @@ def ngrams(toks: Column, n: int) -> Column:
 
 def content(toks: Column, more: bool = False) -> Column:
     """Tokens from the first one that is no leading word; `more` adds three words to the list."""
-    leading = F.array(*[F.lit(w) for w in LEADING_WORDS + (MORE_LEADING_WORDS if more else ())])
-    flags = F.transform(toks, lambda t: ~F.array_contains(leading, t))
+    leading = LEADING_WORDS + (MORE_LEADING_WORDS if more else ())
+    flags = F.transform(toks, lambda t: ~t.isin(*leading))  # a hash lookup: the list is longer than ten
     at = F.array_position(flags, F.lit(True))
     return F.when(at > 0, F.slice(toks, at.cast("int"), F.greatest(F.size(toks), F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
@@ -204,12 +202,10 @@ def severity(code: Column) -> Column:
 def lexicon_hits(toks: Column) -> dict[str, Column]:
     """By category the number of tokens in its lexicon; count takes digits and number words."""
     def among(words: tuple[str, ...]) -> Column:
-        listed = F.array(*[F.lit(w) for w in words])
-        return F.size(F.filter(toks, lambda t: F.array_contains(listed, t)))
+        return F.size(F.filter(toks, lambda t: t.isin(*words)))
 
     out = {name: among(words) for name, words in LEXICONS.items()}
-    number = F.array(*[F.lit(w) for w in NUMBER_WORDS])
-    out["count"] = F.size(F.filter(toks, lambda t: t.rlike(r"^\p{Nd}+$") | F.array_contains(number, t)))
+    out["count"] = F.size(F.filter(toks, lambda t: t.rlike(r"^\p{Nd}+$") | t.isin(*NUMBER_WORDS)))
     out["text_rendering"] = among(TEXT_WORDS)
     return out
 

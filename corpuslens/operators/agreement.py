@@ -133,3 +133,51 @@ def suppress_small(marginals: DataFrame, least: int = 3) -> DataFrame:
     """From (field, value, n): the same, but null for all of a field's cells if one of them is smaller than `least`."""
     low = marginals.groupBy("field").agg(F.min("n").alias("low"))
     return marginals.join(low, "field").select("field", "value", F.when(F.col("low") >= least, F.col("n")).alias("n"))
+
+
+def field_agreement(rows: DataFrame, field: str, phase: str, reps: int = 2000, seed: int = 0) -> DataFrame:
+    """One row (field, phase, items, pairs, clusters, exact, low, high): of rater pairs of the same item of a phase, the share
+    that gives the same value, with the interval of draws of whole item groups. rows has (item_id, item_group, phase,
+    participant, <field>, repeat_of); repeats and missing values are left out. Fields without pairs have null results."""
+    from . import resample
+
+    first = rows.where((F.col("phase") == phase) & F.col("repeat_of").isNull() & F.col(field).isNotNull())
+    labels = first.groupBy("item_id", "participant").agg(F.min("item_group").alias("item_group"), F.max(F.col(field).cast("string")).alias("label"))
+    # a pair of raters agrees or not: counts of each label say how many, without a join of raters
+    n = labels.groupBy("item_group", "item_id", "label").agg(F.count("*").alias("n"))
+    items = n.groupBy("item_group", "item_id").agg(F.sum("n").alias("raters"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same")).where("raters > 1")
+    items = items.withColumn("pairs", F.col("raters") * (F.col("raters") - 1) / 2)
+    found = resample.cluster_bootstrap(items, "item_group", ["same", "pairs"], lambda s: s[0] / s[1] if s[1] else None, reps=reps, seed=seed).iloc[0]
+    total = items.agg(F.count("*").alias("items"), F.sum("pairs").cast("long").alias("pairs"))
+    known = bool(found["clusters"])
+    out = [F.lit(float(found[c]) if known else None).cast("double").alias(a) for c, a in (("estimate", "exact"), ("low", "low"), ("high", "high"))]
+    return total.select(F.lit(field).alias("field"), F.lit(phase).alias("phase"), "items", F.coalesce("pairs", F.lit(0)).cast("long").alias("pairs"), F.lit(int(found["clusters"])).cast("long").alias("clusters"), *out)
+
+
+def sample_summary(rows: DataFrame) -> DataFrame:
+    """By phase and in all (phase null): annotations, items, repeats, participants and item groups of (phase, item_id,
+    participant, item_group, repeat_of)."""
+    return rows.cube("phase").agg(
+        F.count("*").alias("annotations"), F.count_distinct(F.when(F.col("repeat_of").isNull(), F.col("item_id"))).alias("items"), F.count_distinct(F.when(F.col("repeat_of").isNotNull(), F.col("item_id"))).alias("repeats"),
+        F.count_distinct("participant").alias("participants"), F.count_distinct("item_group").alias("clusters"),
+    )
+
+
+def export_metrics(rows: DataFrame, fields: dict[str, str], reps: int = 2000, seed: int = 0) -> DataFrame:
+    """(field, phase, metric, value): the agreement of each field in its phase, and the sample's counts, in long form."""
+    counts = sample_summary(rows).withColumn("phase", F.coalesce("phase", F.lit("all")))
+    names = ["annotations", "items", "repeats", "participants", "clusters"]
+    out = counts.select(F.lit("sample").alias("field"), "phase", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["field", "phase"], names, "metric", "value")
+    for field, phase in fields.items():
+        one = field_agreement(rows, field, phase, reps, seed)
+        names = ["items", "pairs", "clusters", "exact", "low", "high"]
+        out = out.unionByName(one.select("field", "phase", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["field", "phase"], names, "metric", "value"))
+    return out
+
+
+def ordered(rows: DataFrame, column: str, ranks: tuple[str, ...], *then: str) -> DataFrame:
+    """Report rows with the named values of a column first, in their order, unknown ones after, then by other columns."""
+    place = F.lit(len(ranks))
+    for k, name in enumerate(ranks):
+        place = F.when(F.col(column) == name, F.lit(k)).otherwise(place)
+    return rows.orderBy(place, column, *then)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import held
 
 ANSWERS = ("yes", "no", "uncertain")
 STATUSES = ("supported", "contradicted", "not_visible", "uncertain", "not_visual", "invalid")
@@ -133,28 +134,42 @@ def rerun_overlap(first: DataFrame, second: DataFrame) -> DataFrame:
 def pareto(points: DataFrame, key: str, up: str, down: str) -> DataFrame:
     """Points with a flag frontier: no other point is at least as high in `up` and as low in `down`, and better in one.
 
-    One sort instead of a join of all pairs: the lowest `down` among points with a higher `up`, and among equal ones.
+    The distinct values of `up` are sorted over all tasks; the lowest `down` above each is a running minimum within its
+    task and the minimum of the tasks before, of which one number each comes to the driver.
     """
-    w = Window.orderBy(F.desc(up)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    best = points.groupBy(up).agg(F.min(down).alias("low"))
-    above = best.withColumn("low_here_or_above", F.min("low").over(w)).withColumn("low_above", F.min("low").over(Window.orderBy(F.desc(up)).rowsBetween(Window.unboundedPreceding, -1)))
-    j = points.join(above.select(up, "low", "low_above"), up)
+    best = held(points.groupBy(up).agg(F.min(down).alias("low")).orderBy(F.desc(up))).withColumn("_p", F.spark_partition_id())
+    lows = {r["_p"]: r["low"] for r in best.groupBy("_p").agg(F.min("low").alias("low")).collect()}
+    before, least = {}, None
+    for p in sorted(lows):
+        before[p] = least
+        least = lows[p] if least is None else min(least, lows[p])
+    kind = best.schema["low"].dataType
+    carried = F.create_map(*[x for p, v in before.items() for x in (F.lit(p), F.lit(v).cast(kind))])[F.col("_p")] if before else F.lit(None).cast(kind)
+    own = F.min("low").over(Window.partitionBy("_p").orderBy(F.desc(up)).rowsBetween(Window.unboundedPreceding, -1))
+    j = points.join(best.select(up, "low", F.least(carried, own).alias("low_above")), up)
     return j.withColumn("frontier", (F.col(down) == F.col("low")) & (F.col("low_above").isNull() | (F.col(down) < F.col("low_above")))).drop("low", "low_above")
 
 
+def _histogram(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, c, upto, n): how often each value stands there, with running sums: windows sort values, not rows."""
+    w = Window.partitionBy(*by)
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    return h.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
     """By group the value at the position (n - 1) q, rounded half to even, of the sorted values."""
-    w = Window.partitionBy(*by).orderBy(value)
-    r = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w).alias("rn"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    return r.where(F.col("rn") - 1 == F.rint((F.col("n") - 1) * q)).select(*by, F.col(value).alias("value"))
+    at = F.rint((F.col("n") - 1) * q)
+    return _histogram(df, by, value).where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(*by, F.col(value).alias("value"))
 
 
 def trimmed_mean(df: DataFrame, by: list[str], value: str, trim: float = 0.1) -> DataFrame:
-    """By group the mean without the int(n trim) lowest and highest values."""
-    w = Window.partitionBy(*by).orderBy(value)
-    r = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w).alias("rn"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
+    """By group the mean without the int(n trim) lowest and highest values; with all of them where none would be left."""
     k = F.floor(F.col("n") * trim)
-    return r.where((F.col("n") - 2 * k <= 0) | ((F.col("rn") > k) & (F.col("rn") <= F.col("n") - k))).groupBy(*by).agg(F.avg(value).alias("value"))
+    k = F.when(F.col("n") - 2 * k <= 0, F.lit(0)).otherwise(k)
+    taken = F.greatest(F.lit(0), F.least("upto", F.col("n") - k) - F.greatest(F.col("upto") - F.col("c"), k))
+    h = _histogram(df, by, value).withColumn("taken", taken)
+    return h.groupBy(*by).agg((F.sum(F.col(value) * F.col("taken")) / F.sum("taken")).alias("value"))
 
 
 def judge_records(ans: DataFrame, pos: str = "pos") -> DataFrame:

@@ -1,20 +1,21 @@
 """Embedding-space metrics: neighbours, support, retrieval, geometry and diversity.
 
-Exact neighbour scans go over the gallery in blocks: a query block of bounded size goes to every partition of the gallery,
-products are one matrix multiplication each, and only each query's best rows of a partition are shuffled.
+Exact neighbour scans meet blocks of queries with parts of the gallery in tasks: the queries of a task are held, the gallery
+goes by in batches, products are one matrix multiplication each, and a task gives one result a query. Neither side comes
+to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that go to the gallery at a time; more go in further passes.
-QUERY_BLOCK = 4096
+#: Queries that a task holds, and gallery rows that it goes through, about.
+QUERY_BLOCK, GALLERY_PART = 8192, 1 << 18
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -25,41 +26,125 @@ def _matrix(values) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in values]) if len(values) else np.zeros((0, 1))
 
 
-def neighbours(queries: DataFrame, gallery: DataFrame, k: int, skip_self: bool = False, carry: str | None = None) -> DataFrame:
+def _meet(queries: DataFrame, gallery: DataFrame, start: Callable, schema: str) -> DataFrame:
+    """Every query (id, vec, x) with every gallery row (id, vec, x), in blocks: start(ids, unit vectors, x) gives an object
+    whose take(ids, unit vectors, x) sees the gallery in batches and whose result() gives a frame of the schema. A query's
+    results of several tasks are for the caller to put together."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parallel = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-gallery.count() // GALLERY_PART), -(-parallel // blocks))
+
+    def sent(df: DataFrame, kind: int, own: int, others: int) -> DataFrame:
+        place = F.pmod(F.xxhash64("id"), F.lit(own))
+        other = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        rows = df.select("id", F.col("vec").cast("array<double>").alias("vec"), F.col("x").cast("double").alias("x"), place.alias("own"), other.alias("other"))
+        block, part = ("own", "other") if kind == 0 else ("other", "own")
+        return rows.select((F.col(block) * parts + F.col(part)).alias("g"), F.lit(kind).alias("kind"), "id", "vec", "x")
+
+    work = sent(queries, 0, blocks, parts).unionByName(sent(gallery, 1, parts, blocks))
+    work = work.repartition(max(parallel, blocks * parts), "g").sortWithinPartitions("g", "kind", "id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, asked, state = None, [], None
+        for frame in frames:
+            for (g, kind), f in frame.groupby(["g", "kind"], sort=True):
+                if g != last:
+                    if state is not None:
+                        yield state.result()
+                    last, asked, state = g, [], None
+                if kind == 0:
+                    asked.append(f)
+                elif asked:
+                    if state is None:
+                        q = pd.concat(asked)
+                        state = start(q["id"].to_numpy(), unit_rows(_matrix(q["vec"].tolist())), q["x"].to_numpy())
+                    state.take(f["id"].to_numpy(), unit_rows(_matrix(f["vec"].tolist())), f["x"].to_numpy())
+        if state is not None:
+            yield state.result()
+
+    return work.mapInPandas(run, schema)
+
+
+class _Nearest:
+    """The k nearest rows of each query, ties to the smaller id."""
+
+    def __init__(self, k: int, skip_self: bool) -> None:
+        self.k, self.skip = k, skip_self
+
+    def __call__(self, ids: np.ndarray, x: np.ndarray, _: np.ndarray) -> _Nearest:
+        new = _Nearest(self.k, self.skip)
+        new.ids, new.x = ids, x
+        new.sims, new.found = np.full((len(ids), self.k), -np.inf), np.zeros((len(ids), self.k), np.int64)
+        return new
+
+    def take(self, g: np.ndarray, y: np.ndarray, _: np.ndarray) -> None:
+        s = self.x @ y.T
+        if self.skip:
+            s = np.where(self.ids[:, None] == g[None], -np.inf, s)
+        sims, found = np.concatenate((self.sims, s), 1), np.concatenate((self.found, np.broadcast_to(g, s.shape)), 1)
+        # the rows come by id, so that a stable sort leaves ties with the smaller one
+        top = np.argsort(-sims, axis=1, kind="stable")[:, : self.k]
+        self.sims, self.found = np.take_along_axis(sims, top, 1), np.take_along_axis(found, top, 1)
+
+    def result(self) -> pd.DataFrame:
+        keep = np.isfinite(self.sims).ravel()
+        return pd.DataFrame({"q_id": np.repeat(self.ids, self.k)[keep], "g_id": self.found.ravel()[keep], "sim": self.sims.ravel()[keep]})
+
+
+class _Support:
+    """How many rows have the query within their own radius, and the nearest cosine."""
+
+    def __init__(self, skip_self: bool) -> None:
+        self.skip = skip_self
+
+    def __call__(self, ids: np.ndarray, x: np.ndarray, _: np.ndarray) -> _Support:
+        new = _Support(self.skip)
+        new.ids, new.x, new.hits, new.nn = ids, x, np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
+        return new
+
+    def take(self, g: np.ndarray, y: np.ndarray, radius: np.ndarray) -> None:
+        s = self.x @ y.T
+        if self.skip:
+            s = np.where(self.ids[:, None] == g[None], -np.inf, s)
+        self.hits += (s >= radius[None]).sum(1)
+        self.nn = np.maximum(self.nn, s.max(1))
+
+    def result(self) -> pd.DataFrame:
+        return pd.DataFrame({"q_id": self.ids, "hits": self.hits, "nn": self.nn})
+
+
+class _Rank:
+    """How many other rows score higher than the query's positive, and the best of them."""
+
+    def __call__(self, ids: np.ndarray, x: np.ndarray, positive: np.ndarray) -> _Rank:
+        new = _Rank()
+        new.ids, new.x, new.positive, new.higher, new.best = ids, x, positive, np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
+        return new
+
+    def take(self, g: np.ndarray, y: np.ndarray, _: np.ndarray) -> None:
+        s = np.where(self.ids[:, None] == g[None], -np.inf, self.x @ y.T)
+        self.higher += (s > self.positive[:, None]).sum(1)
+        self.best = np.maximum(self.best, s.max(1))
+
+    def result(self) -> pd.DataFrame:
+        return pd.DataFrame({"id": self.ids, "higher": self.higher, "best": self.best, "positive": self.positive})
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select("id", "vec", F.lit(0.0).alias("x"))
+
+
+def neighbours(queries: DataFrame, gallery: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """(q_id, g_id, sim, rank): the k nearest gallery rows (id, vec) of each query by cosine, ties to the smaller id.
     skip_self leaves out the gallery row of the query's own id."""
-    n = queries.count()
-    passes = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for part in range(passes):
-        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == part).select("id", "vec").toPandas().sort_values("id")
-        ids, x = block["id"].to_numpy(), unit_rows(_matrix(block["vec"].tolist()))
-
-        def scan(frames: Iterator[pd.DataFrame], ids=ids, x=x) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if not len(f) or not len(ids):
-                    continue
-                g = f["id"].to_numpy()
-                order = np.argsort(g, kind="stable")
-                g, y = g[order], unit_rows(_matrix(f["vec"].tolist()))[order]
-                s = x @ y.T
-                if skip_self:
-                    s = np.where(ids[:, None] == g[None], -np.inf, s)
-                m = min(k, s.shape[1])
-                top = np.argsort(-s, axis=1, kind="stable")[:, :m]
-                sims = np.take_along_axis(s, top, 1)
-                keep = np.isfinite(sims).ravel()
-                yield pd.DataFrame({"q_id": np.repeat(ids, m)[keep], "g_id": g[top].ravel()[keep], "sim": sims.ravel()[keep]})
-
-        found = gallery.select("id", "vec").mapInPandas(scan, "q_id long, g_id long, sim double")
-        out = found if out is None else out.unionByName(found)
+    out = _meet(_plain(queries), _plain(gallery), _Nearest(k, skip_self), "q_id long, g_id long, sim double")
     w = Window.partitionBy("q_id").orderBy(F.desc("sim"), "g_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_cosine(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+def nearest_cosine(queries: DataFrame, gallery: DataFrame, skip_self: bool = False) -> DataFrame:
     """(q_id, sim): the highest cosine of each query over the gallery."""
-    return neighbours(queries, gallery, 1).select("q_id", "sim")
+    return neighbours(queries, gallery, 1, skip_self).select("q_id", "sim")
 
 
 def kth_self_cosine(gallery: DataFrame, k: int) -> DataFrame:
@@ -67,26 +152,11 @@ def kth_self_cosine(gallery: DataFrame, k: int) -> DataFrame:
     return neighbours(gallery, gallery, k, skip_self=True).where(F.col("rank") == k).select(F.col("q_id").alias("id"), F.col("sim").alias("radius"))
 
 
-def support(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
+def support(queries: DataFrame, gallery: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """(q_id, covered, density, nn): whether a gallery row has the query within its own k-th neighbour's radius, the number of
-    such rows over k, and the nearest cosine."""
-    radius = kth_self_cosine(gallery, k)
-    ready = gallery.join(radius, "id").select("id", "vec", "radius")
-    n = queries.count()
-    passes = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for part in range(passes):
-        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == part).select("id", "vec").toPandas().sort_values("id")
-        ids, x = block["id"].to_numpy(), unit_rows(_matrix(block["vec"].tolist()))
-
-        def scan(frames: Iterator[pd.DataFrame], ids=ids, x=x) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if len(f) and len(ids):
-                    s = x @ unit_rows(_matrix(f["vec"].tolist())).T
-                    yield pd.DataFrame({"q_id": ids, "hits": (s >= f["radius"].to_numpy()[None]).sum(1), "nn": s.max(1)})
-
-        found = ready.mapInPandas(scan, "q_id long, hits long, nn double")
-        out = found if out is None else out.unionByName(found)
+    such rows over k, and the nearest cosine. skip_self leaves out the gallery row of the query's own id."""
+    ready = gallery.join(kth_self_cosine(gallery, k), "id").select("id", "vec", F.col("radius").alias("x"))
+    out = _meet(_plain(queries), ready, _Support(skip_self), "q_id long, hits long, nn double")
     g = out.groupBy("q_id").agg(F.sum("hits").alias("hits"), F.max("nn").alias("nn"))
     return g.select("q_id", (F.col("hits") > 0).alias("covered"), (F.col("hits") / k).alias("density"), "nn")
 
@@ -94,27 +164,19 @@ def support(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
 def retrieval(a: DataFrame, b: DataFrame) -> DataFrame:
     """(id, direction, positive, margin, rank): of frames (id, vec) with the same ids: the diagonal score, its lead over the
     best other, and the rank 1 + number of strictly higher scores, both ways."""
+
+    @F.pandas_udf("double")
+    def cosine(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series((unit_rows(_matrix(p.tolist())) * unit_rows(_matrix(q.tolist()))).sum(1) if len(p) else [], dtype="float64")
+
     out = None
     for name, q, g in (("a2b", a, b), ("b2a", b, a)):
-        positives = q.alias("q").join(g.alias("g"), "id").select("id", F.col("q.vec").alias("qv"), F.col("g.vec").alias("gv"))
-        n = positives.count()
-        passes = max(1, -(-n // QUERY_BLOCK))
-        for part in range(passes):
-            block = positives.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == part).toPandas().sort_values("id")
-            ids = block["id"].to_numpy()
-            x, y = unit_rows(_matrix(block["qv"].tolist())), unit_rows(_matrix(block["gv"].tolist()))
-            pos = (x * y).sum(1) if len(ids) else np.zeros(0)
-
-            def scan(frames: Iterator[pd.DataFrame], ids=ids, x=x, pos=pos) -> Iterator[pd.DataFrame]:
-                for f in frames:
-                    if len(f) and len(ids):
-                        s = x @ unit_rows(_matrix(f["vec"].tolist())).T
-                        s = np.where(ids[:, None] == f["id"].to_numpy()[None], -np.inf, s)
-                        yield pd.DataFrame({"id": ids, "higher": (s > pos[:, None]).sum(1), "best": s.max(1), "positive": pos})
-
-            found = g.select("id", "vec").mapInPandas(scan, "id long, higher long, best double, positive double").groupBy("id").agg(F.sum("higher").alias("higher"), F.max("best").alias("best"), F.first("positive").alias("positive"))
-            found = found.select("id", F.lit(name).alias("direction"), "positive", (F.col("positive") - F.col("best")).alias("margin"), (F.col("higher") + 1).alias("rank"))
-            out = found if out is None else out.unionByName(found)
+        vec = lambda c: F.col(c).cast("array<double>")
+        asked = q.alias("q").join(g.alias("g"), "id").select("id", F.col("q.vec").alias("vec"), cosine(vec("q.vec"), vec("g.vec")).alias("x"))
+        found = _meet(asked, _plain(g), _Rank(), "id long, higher long, best double, positive double")
+        found = found.groupBy("id").agg(F.sum("higher").alias("higher"), F.max("best").alias("best"), F.max("positive").alias("positive"))
+        found = found.select("id", F.lit(name).alias("direction"), "positive", (F.col("positive") - F.col("best")).alias("margin"), (F.col("higher") + 1).alias("rank"))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -189,3 +251,22 @@ def geometry(rows: DataFrame, by: str) -> DataFrame:
 
 def score_summary(scores: DataFrame, value: str = "sim", thresholds: tuple[float, ...] = (0.5, 0.7, 0.9)) -> DataFrame:
     return scores.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), *[F.percentile(value, q).alias(f"p{int(q * 100)}") for q in (0.05, 0.5, 0.95)], *[F.avg((F.col(value) >= t).cast("double")).alias(f"ge_{int(t * 100)}") for t in thresholds])
+
+
+def block_numbers(rows: DataFrame, size: int, seed: object = 0) -> DataFrame:
+    """rows (id, ...) with a column block: rows in hash order cut into blocks of `size`, where a last block of less than half
+    that size joins the one before. The order is sorted over all tasks; the counts of these give the places."""
+    from ..sources.scratch import held
+
+    h = F.sha2(F.concat_ws("\x00", F.lit(str(seed)), F.col("id").cast("string")), 256)
+    part = held(rows.withColumn("_h", h).orderBy("_h", "id")).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    counts = {r["_p"]: r["count"] for r in part.groupBy("_p").count().collect()}
+    n, starts = 0, {}
+    for p in sorted(counts):
+        starts[p] = n
+        n += counts[p]
+    full, tail = divmod(n, size)
+    last = max(0, full - (2 * tail < size)) if full else 0
+    start = F.create_map(*[F.lit(v) for kv in (starts or {0: 0}).items() for v in kv])[F.col("_p")]
+    place = (start + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    return part.withColumn("block", F.least(F.floor(place / size), F.lit(last)).cast("long")).drop("_h", "_p", "_i")

@@ -84,12 +84,26 @@ def modulo_split(df: DataFrame, count: int, index: int, row_index: str) -> DataF
     return df.where(F.pmod(F.col(row_index), F.lit(count)) == index)
 
 
-def stratified(df: DataFrame, strata: list[str], n: int, seed: object, key: str) -> DataFrame:
-    """n rows of each stratum by hash, with weight N / n of what was drawn. A stratum with fewer keeps all at weight one."""
+def stratified(df: DataFrame, strata: list[str], n: int, seed: object, key: str, declared: DataFrame | None = None) -> DataFrame:
+    """n rows of each stratum by hash, with weight N / n of what was drawn. A stratum with fewer keeps all at weight one;
+    with the strata that are declared, one that has fewer than n rows is an error that names it."""
+    if declared is not None and (short := shortfalls(df, declared, strata, n).orderBy(*strata).limit(20).collect()):
+        raise ValueError(f"strata with fewer than {n} rows: {[tuple(r) for r in short]}")
     w = Window.partitionBy(*strata).orderBy(order_key(seed, F.col(key)), key)
     ranked = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     sizes = df.groupBy(*strata).agg(F.count("*").alias("population"))
-    return ranked.join(F.broadcast(sizes), strata).withColumn("weight", F.col("population") / F.least("population", F.lit(n))).drop("rank")
+    return ranked.join(sizes, strata).withColumn("weight", F.col("population") / F.least("population", F.lit(n))).drop("rank")
+
+
+def with_repeats(sample: DataFrame, share: float, seed: object, key: str, by: list[str]) -> DataFrame:
+    """The sample and, for rater consistency, a second row of the ceil(share n) rows of each group `by` with the smallest
+    hashes: repeat_of names the original, the key has :repeat behind it, and the weight is zero, so that no estimate counts
+    a row twice."""
+    w = Window.partitionBy(*by)
+    ranked = sample.withColumn("_r", F.row_number().over(w.orderBy(order_key(f"{seed}:repeat", F.col(key)), key))).withColumn("_n", F.count("*").over(w))
+    again = ranked.where(F.col("_r") <= F.ceil(F.col("_n") * share)).drop("_r", "_n")
+    again = again.withColumn("repeat_of", F.col(key).cast("string")).withColumn(key, F.concat(F.col(key).cast("string"), F.lit(":repeat"))).withColumn("weight", F.lit(0.0))
+    return sample.withColumn("repeat_of", F.lit(None).cast("string")).withColumn(key, F.col(key).cast("string")).unionByName(again)
 
 
 def shortfalls(df: DataFrame, declared: DataFrame, strata: list[str], n: int) -> DataFrame:

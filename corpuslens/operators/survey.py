@@ -16,9 +16,15 @@ TOP_KS = (10, 100, 1000)
 
 
 def captions(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", surface: Column | None = None, lower: bool = True) -> DataFrame:
-    """(surface, id, text, toks) of all rows; a null text has no tokens."""
+    """(surface, id, text, toks) of all rows; a null text has no tokens. The tokens come out of a generator of one row, which
+    filters and projections above it are not merged into: each text is tokenised once."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select((surface if surface is not None else F.lit("all")).alias("surface"), F.col(id_col).alias("id"), text.alias("text"), X.tokens(F.col(text_col), lower).alias("toks"))
+    return df.select((surface if surface is not None else F.lit("all")).alias("surface"), F.col(id_col).alias("id"), text.alias("text"), once(X.tokens(F.col(text_col), lower)).alias("toks"))
+
+
+def once(value: Column) -> Column:
+    """The value, computed once however often the columns above use it; one such column a select."""
+    return F.explode(F.array(value))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -72,7 +78,8 @@ def raw_prefix_counts(frame: DataFrame, n: int = 5) -> DataFrame:
 
 def content_prefix_counts(frame: DataFrame, n: int = 5, more: bool = False) -> DataFrame:
     """Captions that only hold leading words have no content prefix."""
-    return item_counts(frame.where(F.size(X.content(F.col("toks"), more)) > 0), X.prefix(X.content(F.col("toks"), more), n))
+    rest = frame.where(F.size("toks") > 0).select("surface", "id", once(X.content(F.col("toks"), more)).alias("toks"))
+    return item_counts(rest, X.prefix(F.col("toks"), n))
 
 
 def opening_counts(frame: DataFrame, n: int = 3) -> DataFrame:
@@ -241,10 +248,12 @@ def paired_deltas(pairs: DataFrame, budget: int = 64, k: int = 100) -> DataFrame
 def truncation(sizes: DataFrame, limits: tuple[int, ...]) -> DataFrame:
     """From (surface, n), token counts of any tokenizer: the share over each limit, and the 50th, 90th, 95th and 99th nearest-rank
     quantiles at (n - 1) q, rounded half to even."""
+    # a window over a histogram of the sizes, not over the captions
     w = Window.partitionBy("surface")
-    r = sizes.withColumn("rn", F.row_number().over(w.orderBy("n"))).withColumn("rows", F.count("*").over(w))
-    quantiles = [F.max(F.when(F.col("rn") - 1 == F.rint((F.col("rows") - 1) * q), F.col("n"))).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)]
-    return r.groupBy("surface").agg(F.count("*").alias("captions"), F.max("n").alias("max_n"), *quantiles, *[(F.sum((F.col("n") > b).cast("long")) / F.count("*")).alias(f"over_{b}") for b in limits])
+    r = sizes.groupBy("surface", "n").agg(F.count("*").alias("c"))
+    r = r.withColumn("upto", F.sum("c").over(w.orderBy("n"))).withColumn("rows", F.sum("c").over(w))
+    quantiles = [F.min(F.when(F.col("upto") > F.rint((F.col("rows") - 1) * q), F.col("n"))).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)]
+    return r.groupBy("surface").agg(F.sum("c").alias("captions"), F.max("n").alias("max_n"), *quantiles, *[(F.sum(F.when(F.col("n") > b, F.col("c")).otherwise(0)) / F.sum("c")).alias(f"over_{b}") for b in limits])
 
 
 def word_lengths(frame: DataFrame) -> DataFrame:

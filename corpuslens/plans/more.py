@@ -192,15 +192,15 @@ def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as questions: two judges (by flag and mode), slices by status, requests by order."""
     li = table(spark, sf_dir, "lineitem")
     pick = lambda c: F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("uncertain")), (c % 3 + 1).cast("int"))
-    base = li.select(F.col("l_linestatus").alias("slice"), F.col("l_orderkey").alias("request_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("question_id"), F.element_at(F.array(*[F.lit(c) for c in X.CATEGORIES]), (F.col("l_linenumber") % 8 + 1).cast("int")).alias("category"), F.col("l_returnflag").alias("surface"), "l_partkey", "l_suppkey")
+    base = li.select(F.col("l_linestatus").alias("slice"), F.col("l_orderkey").alias("request_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("question_id"), F.element_at(F.array(*[F.lit(c) for c in X.CATEGORIES]), (F.col("l_linenumber") % 8 + 1).cast("int")).alias("category"), F.col("l_returnflag").alias("surface"), "l_partkey", "l_suppkey", "l_discount")
     one = base.withColumn("judge", F.lit("j1")).withColumn("answer", pick(F.col("l_partkey")))
-    two = base.where("l_suppkey % 5 <> 0").withColumn("judge", F.lit("j2")).withColumn("answer", pick(F.col("l_suppkey")))
-    return one.unionByName(two).drop("l_partkey", "l_suppkey")
+    two = base.where("l_discount > 0").withColumn("judge", F.lit("j2")).withColumn("answer", pick(F.col("l_suppkey")))
+    return one.unionByName(two).drop("l_partkey", "l_suppkey", "l_discount")
 
 
 _ANS = "['yes','no','uncertain']"
-JUDGES = f"""jb as (select l_linestatus as slice, l_orderkey as request_id, l_orderkey || ':' || l_linenumber as question_id, {core._in(X.CATEGORIES)}[l_linenumber % 8 + 1] as category, l_returnflag as surface, l_partkey as pk, l_suppkey as sk from lineitem),
-ja as (select slice, request_id, question_id, category, surface, 'j1' as judge, {_ANS}[pk % 3 + 1] as answer from jb union all select slice, request_id, question_id, category, surface, 'j2', {_ANS}[sk % 3 + 1] from jb where sk % 5 <> 0)"""
+JUDGES = f"""jb as (select l_linestatus as slice, l_orderkey as request_id, l_orderkey || ':' || l_linenumber as question_id, {core._in(X.CATEGORIES)}[l_linenumber % 8 + 1] as category, l_returnflag as surface, l_partkey as pk, l_suppkey as sk, l_discount as disc from lineitem),
+ja as (select slice, request_id, question_id, category, surface, 'j1' as judge, {_ANS}[pk % 3 + 1] as answer from jb union all select slice, request_id, question_id, category, surface, 'j2', {_ANS}[sk % 3 + 1] from jb where disc > 0)"""
 _CNT = ", ".join(f"count(*) filter (answer = '{a}') as {a}" for a in claims.ANSWERS)
 
 
@@ -344,11 +344,12 @@ def agree_ordinal(spark, sf_dir):
     return rounded(agreement.ordinal_agreement(p, ["g"]))
 
 
-@register("""with m as (select 'segment' as field, c_mktsegment as value, count(*) as n from customer group by 2 union all select 'nation', c_nationkey::varchar, count(*) from customer where c_custkey < 60 group by 2), l as (select field, min(n) as low from m group by 1) select field, value, case when low >= 3 then n end as n from m join l using (field)""")
+@register("""with m as (select 'segment' as field, c_mktsegment as value, count(*) as n from customer group by 2 union all select 'cell', c_nationkey || '/' || c_mktsegment || '/' || floor(c_acctbal / 1000)::bigint, count(*) from customer group by 2), l as (select field, min(n) as low from m group by 1) select field, value, case when low >= 3 then n end as n from m join l using (field)""")
 def privacy_marginals(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     m = c.groupBy(F.col("c_mktsegment").alias("value")).agg(F.count("*").alias("n")).select(F.lit("segment").alias("field"), "value", "n")
-    n = c.where("c_custkey < 60").groupBy(F.col("c_nationkey").cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit("nation").alias("field"), "value", "n")
+    cell = F.concat_ws("/", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).cast("string"))
+    n = c.groupBy(cell.alias("value")).agg(F.count("*").alias("n")).select(F.lit("cell").alias("field"), "value", "n")
     return agreement.suppress_small(m.unionByName(n))
 
 
@@ -359,8 +360,8 @@ def vectors(spark: SparkSession, sf_dir: str, part: Column | None = None) -> Dat
 
 
 _COS = "(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
-VECS = "vq as (select vec_id as id, embedding::double[] as v from embeddings where vec_id % 2 = 1), vg as (select vec_id as id, embedding::double[] as v from embeddings where vec_id % 2 = 0)"
-SIMS = f"s as (select vq.id as q_id, vg.id as g_id, {_COS.format(a='vq.v', b='vg.v')} as sim from vq, vg)"
+VECS = "vq as (select vec_id as id, embedding::double[] as v from embeddings), vg as (select * from vq)"
+SIMS = f"s as (select vq.id as q_id, vg.id as g_id, {_COS.format(a='vq.v', b='vg.v')} as sim from vq, vg where vq.id <> vg.id)"
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -369,18 +370,18 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @register(f"with {VECS}, {SIMS}, r as (select *, row_number() over (partition by q_id order by sim desc, g_id) as rank from s) select q_id, g_id, round(sim, 6) as sim, rank::int as rank from r where rank <= 5")
 def embed_neighbours(spark, sf_dir):
-    return rounded(embed.neighbours(*_halves(spark, sf_dir), 5))
+    return rounded(embed.neighbours(vectors(spark, sf_dir), vectors(spark, sf_dir), 5, skip_self=True))
 
 
 @register(f"with {VECS}, {SIMS} select q_id, round(max(sim), 6) as sim from s group by 1")
 def embed_nearest(spark, sf_dir):
-    return rounded(embed.nearest_cosine(*_halves(spark, sf_dir)))
+    return rounded(embed.nearest_cosine(vectors(spark, sf_dir), vectors(spark, sf_dir), skip_self=True))
 
 
 @register(f"""with {VECS}, {SIMS}, gg as (select a.id, row_number() over (partition by a.id order by {_COS.format(a='a.v', b='b.v')} desc) as r, {_COS.format(a='a.v', b='b.v')} as sim from vg a join vg b on a.id <> b.id), rad as (select id, sim as radius from gg where r = 10)
 select q_id, sum((sim >= radius)::int) > 0 as covered, round(sum((sim >= radius)::int) / 10, 6) as density, round(max(sim), 6) as nn from s join rad on g_id = rad.id group by 1""")
 def embed_support(spark, sf_dir):
-    return rounded(embed.support(*_halves(spark, sf_dir), 10))
+    return rounded(embed.support(vectors(spark, sf_dir), vectors(spark, sf_dir), 10, skip_self=True))
 
 
 @register(f"""with a as (select vec_id as id, embedding::double[] as v from embeddings where vec_id % 2 = 0), b as (select vec_id - 1 as id, embedding::double[] as v from embeddings where vec_id % 2 = 1), p as (select a.id as i, b.id as j, {_COS.format(a='a.v', b='b.v')} as s from a, b),

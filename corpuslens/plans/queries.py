@@ -285,4 +285,4 @@ def support_pools(spark, sf_dir):
     return rounded(support.compare(support.histogram(frame, 2, 64, by=("surface", "pool")), support.histogram(prompts(spark, sf_dir), 2), by=("surface", "pool")))
 
 
-from . import more  # noqa: E402,F401  registers the other families
+from . import more, rest  # noqa: E402,F401  registers the other families

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .scratch import held
 
 
 def expand(spark: SparkSession, patterns: list[str]) -> list[str]:
@@ -101,12 +102,14 @@ def tar_members(paths: DataFrame, wanted: set[str]) -> DataFrame:
 
 
 def discover(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
-    """Rows with distinct keys and a global_index by key order, without a sort of all rows in one task."""
+    """Rows with distinct keys and a global_index by key order, without a sort of all rows in one task.
+
+    The sorted rows are kept first, so that the counts of the partitions and the index read the same partitions."""
     rows = df.dropDuplicates([key]).orderBy(key)
     if limit is not None:
         rows = rows.limit(limit)
-    # rows before each sorted partition, counted first; one small number a partition
-    part = rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    part = held(rows).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    # rows before each sorted partition: one small number a partition
     sizes = {r["_p"]: r["count"] for r in part.groupBy("_p").count().collect()}
     before, starts = 0, {}
     for p in sorted(sizes):

@@ -263,3 +263,77 @@ def test_streams(spark, tmp_path):
     q = ingest.append_once(ingest.tail(spark, str(src), schema), "id", "t", "1 day", str(tmp_path / "once"), str(tmp_path / "cp2"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "once")).count() == 2
+
+
+def test_discover_on_wide_rows(spark):
+    """Indices are those of the sorted keys, with no gap, whatever columns a job reads."""
+    from corpuslens.sources import io
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    df = spark.range(n).select((F.xxhash64("id")).alias("k"), F.repeat(F.lit("wide "), 60).alias("text"), F.col("id").cast("string").alias("s"))
+    got = io.discover(df, "k").agg(F.count("global_index"), F.count_distinct("global_index"), F.min("global_index"), F.max("global_index")).first()
+    assert tuple(got) == (n, n, 0, n - 1)
+
+
+def test_scans_in_many_blocks(spark, monkeypatch):
+    """Neighbours, support and retrieval do not depend on how queries and gallery are cut."""
+    import numpy as np
+    from corpuslens.operators import embed
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(150, 5))
+    x[7] = x[90]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>").repartition(3)
+    u = embed.unit_rows(x)
+    s = u @ u.T
+    np.fill_diagonal(s, -np.inf)
+    for block, part in ((8192, 1 << 18), (40, 25)):
+        monkeypatch.setattr(embed, "QUERY_BLOCK", block)
+        monkeypatch.setattr(embed, "GALLERY_PART", part)
+        got = {}
+        for r in embed.neighbours(df, df, 3, skip_self=True).collect():
+            got.setdefault(r.q_id, {})[r["rank"]] = (r.g_id, r.sim)
+        for q in range(150):
+            assert np.allclose([got[q][k][1] for k in (1, 2, 3)], np.sort(s[q])[::-1][:3])
+        ranks = {(r.id, r.direction): r for r in embed.retrieval(df, df).collect()}
+        assert len(ranks) == 300 and all(np.isclose(r.positive, 1) for r in ranks.values())
+
+
+def test_pareto_over_many_tasks(spark):
+    import numpy as np
+    from corpuslens.operators import claims
+
+    rng = np.random.default_rng(1)
+    pts = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 60, (400, 2)))]
+    got = {r.k: r.frontier for r in claims.pareto(spark.createDataFrame(pts, "k long, up long, down long").repartition(5), "k", "up", "down").collect()}
+    want = {k: not any(c >= a and d <= b and (c > a or d < b) for _, c, d in pts) for k, a, b in pts}
+    assert got == want
+    assert claims.pareto(spark.createDataFrame([], "k long, up long, down long"), "k", "up", "down").count() == 0
+
+
+def test_shortfalls_are_errors_and_repeats_weigh_nothing(spark):
+    import pytest
+    from corpuslens.operators import resample
+
+    df = spark.createDataFrame([(f"i{k}", "a" if k < 30 else "b") for k in range(34)], "item string, s string")
+    declared = spark.createDataFrame([("a",), ("b",), ("c",)], "s string")
+    with pytest.raises(ValueError, match="fewer than 5"):
+        resample.stratified(df, ["s"], 5, 1, "item", declared)
+    s = resample.stratified(df, ["s"], 3, 1, "item", declared.where("s <> 'c'"))
+    rows = resample.with_repeats(s.select("item", "s", "weight"), 0.5, 1, "item", ["s"]).collect()
+    assert len(rows) == 6 + 4 and sum(r.weight for r in rows) == pytest.approx(34)
+    assert all((r.repeat_of is None) == (r.weight > 0) and (r.repeat_of is None or r.item == f"{r.repeat_of}:repeat") for r in rows)
+
+
+def test_field_agreement_of_a_hand_made_study(spark):
+    from corpuslens.operators import agreement
+
+    rows = [("i1", "g1", "caption", "a", "yes", None), ("i1", "g1", "caption", "b", "yes", None), ("i1", "g1", "caption", "c", "no", None), ("i2", "g2", "caption", "a", "no", None), ("i2", "g2", "caption", "b", "no", None), ("i2", "g2", "caption", "c", None, None), ("i3", "g2", "caption", "a", "yes", "i1"), ("i3", "g2", "caption", "b", "no", "i1"), ("i4", "g3", "image", "a", "no", None)]
+    df = spark.createDataFrame(rows, "item_id string, item_group string, phase string, participant string, label string, repeat_of string")
+    r = agreement.field_agreement(df, "label", "caption", reps=300).first()
+    assert (r["items"], r.pairs, r.clusters, r.exact) == (2, 4, 2, 0.5) and r.low <= 0.5 <= r.high
+    none = agreement.field_agreement(df, "label", "image").first()
+    assert (none["items"], none.pairs, none.exact, none.low) == (0, 0, None, None)
+    metrics = {(x.field, x.phase, x.metric): x.value for x in agreement.export_metrics(df, {"label": "caption"}, reps=50).collect()}
+    assert metrics["label", "caption", "exact"] == 0.5 and metrics["sample", "all", "annotations"] == 9 and metrics["sample", "caption", "repeats"] == 1
