@@ -25,8 +25,8 @@ PREFIX, ROW, MANIFEST = "urn:corpuslens:page:", "urn:corpuslens:row:", "_manifes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes after which a task goes on with another file; rows, and bytes of payloads, after which the reader gives a batch.
 FILE_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 500, 8 << 20
-#: Bytes of a read of a compressed file.
-READ_BYTES = 1 << 20
+#: Bytes of a read, and of the window that is held before and after a position, about.
+READ_BYTES = 1 << 18
 #: Payloads shorter than this are always written whole.
 LEAST_BYTES = 1000
 
@@ -116,7 +116,7 @@ class Files(InputPartition):
 
 
 class Stream:
-    """Bytes of an uncompressed file or of one of gzip members, read forwards by position."""
+    """Bytes of an uncompressed file or of one of gzip members, read forwards by position. A window of the file is held."""
 
     def __init__(self, raw, zipped: bool) -> None:
         self.raw, self.zipped = raw, zipped
@@ -125,7 +125,7 @@ class Stream:
 
     def _more(self, least: int) -> None:
         if not self.zipped:
-            data = self.raw.read(max(least, 1 << 16))
+            data = self.raw.read(max(least, READ_BYTES))
             self.ended = not data
         else:
             packed, data = self.inflate.unused_data or self.raw.read(READ_BYTES), b""
@@ -135,13 +135,13 @@ class Stream:
                 data = self.inflate.decompress(packed)
             elif not packed:
                 self.ended = True
-        self.buffer += data
+        self.buffer = self.buffer + data if self.buffer else data
 
     def forget(self, at: int) -> None:
         """Nothing before the position is asked for again; in an uncompressed file what is not read yet is passed by a seek."""
         if at <= self.base + len(self.buffer):
-            self.buffer = self.buffer[at - self.base :]
-            self.base = at
+            if at - self.base > READ_BYTES:
+                self.buffer, self.base = self.buffer[at - self.base :], at
         elif not self.zipped:
             self.raw.seek(at)
             self.buffer, self.base = b"", at
@@ -158,26 +158,18 @@ class Stream:
             self._more(at - self.base + n - len(self.buffer))
         return self.buffer[at - self.base : at - self.base + n]
 
-    def header(self, at: int) -> bytes | None:
-        """What stands up to the next empty line, or None at the end of the file. Empty lines in front are passed."""
-        while True:
-            while not self.ended and len(self.buffer) - (at - self.base) < 4:
-                self._more(0)
-            rest = self.buffer[at - self.base :]
-            skip = len(rest) - len(rest.lstrip(b"\r\n"))
-            if skip:
-                at += skip
-                self.forget(at)
-                continue
-            break
-        if not rest:
+    def header(self, at: int) -> tuple[int, bytes] | None:
+        """Where the next header begins and what stands there up to the next empty line, or None at the end of the file.
+        Empty lines in front are passed."""
+        while (some := self.take(at, 4)) and some[:1] in b"\r\n":
+            at += 1
+        if not some:
             return None
-        self.forget(at)
-        while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+        while (end := self.buffer.find(b"\r\n\r\n", at - self.base)) < 0:
             if self.ended:
                 raise ValueError("a WARC record is cut off")
-            self._more(len(self.buffer))
-        return self.buffer[:end]
+            self._more(len(self.buffer) - (at - self.base))
+        return at, self.buffer[at - self.base : end]
 
 
 def headers(block: bytes) -> dict[str, str]:
@@ -297,9 +289,10 @@ class Reader(DataSourceReader):
 
     def records(self, f: Stream) -> Iterator[tuple]:
         at = 0
-        while (block := f.header(at)) is not None:
+        while (found := f.header(at)) is not None:
+            at, block = found
             head = headers(block)
-            start, length = f.base + len(block) + 4, int(head["content-length"])
+            start, length = at + len(block) + 4, int(head["content-length"])
             row, names = self.head_row(head)
             if all(dict(zip(NAMES, row, strict=False))[k] in v for k, v in self.wanted):
                 yield (*self.full_row(row, head, f.take(start, length)), *names)
