@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,6 +85,23 @@ def gather(rows: DataFrame, col: str, most_bytes: int, tag: str) -> pa.Table:
     return kept.toArrow().sort_by("id")
 
 
+def release(spark: SparkSession) -> None:
+    """Let the JVM collect the plans that were cut, so that Spark's cleaner deletes their shuffle files now and not at some
+    later collection: a long job then holds the files of its current step only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of ids, up to some 10 MB, that a join broadcasts; more are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A narrow frame of ids, cut before, marked for a broadcast where a count finds at most BROADCAST_ROWS of them; then the
+    other side, with its texts, need not be shuffled."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 def slices(batch: pa.RecordBatch, col: int, most_bytes: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of slices of a batch that hold about most_bytes of text; null texts come as empty ones."""
     column = batch.column(col)

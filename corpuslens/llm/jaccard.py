@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, few, release, slices, table
 from .components import connected_components
 
 WIDTH, LEAST = 5, Fraction(4, 5)
@@ -20,10 +20,10 @@ WIDTH, LEAST = 5, Fraction(4, 5)
 SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 200_000
 #: Rows of one shingle that a task compares at once; larger groups go to tasks by pairs of blocks.
 BLOCK = 1000
-#: Bits of the parity sketch of a set.
-SKETCH = 1024
+#: Bits of the parity sketch of a set, of its short form, and at most of the form that grows with the set.
+SKETCH, FOLDED, WIDE = 1024, 256, 1 << 16
 #: Words whose hashes a worker keeps; then it starts anew.
-CACHED = 1_000_000
+CACHED = 400_000
 
 
 class WordHashes(dict):
@@ -75,13 +75,23 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """For each of SKETCH buckets whether it has an odd number of shingles. Two sketches differ in no more bits than the
-    sets in shingles."""
-    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+def sketch(s: np.ndarray, bits: int = SKETCH) -> bytes:
+    """For each of the buckets whether it has an odd number of shingles. Two sketches differ in no more bits than the sets
+    in shingles."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide(s: np.ndarray) -> bytes:
+    """A sketch of some four bits a shingle, from SKETCH to WIDE bits: a power of two."""
+    return sketch(s, min(WIDE, max(SKETCH, 1 << (4 * max(1, len(s)) - 1).bit_length())))
+
+
+def folded(s: bytes) -> bytes:
+    """A sketch of FOLDED bits, with the same property."""
+    return np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, FOLDED // 8)).tobytes()
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, least: Fraction) -> np.ndarray:
     """The first shingles of a set in the order rare before frequent, then by hash: so many that any set of Jaccard
     similarity `least` or more has one of its own first ones among them."""
@@ -119,7 +129,7 @@ def frequent_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
     return np.sort(often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
 
-HASHED = "id long, class long, n long, fp long, sketch binary, first array<long>"
+HASHED = "id long, class long, n long, fp long, sketch binary, folded binary, wide binary, first array<long>"
 
 
 def hashed(width: int, frequent: np.ndarray, least: Fraction, fingerprints):
@@ -137,7 +147,9 @@ def hashed(width: int, frequent: np.ndarray, least: Fraction, fingerprints):
                     first.append(None if c in seen else prefix(s, frequent, least).view(np.int64))
                     seen.add(c)
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fingerprints(sets).view(np.int64))]
-                yield pa.record_batch([*columns, pa.array([sketch(s) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["id", "class", "n", "fp", "sketch", "first"])
+                sketches = [sketch(s) for s in sets]
+                columns += [pa.array(sketches, pa.binary()), pa.array(map(folded, sketches), pa.binary()), pa.array(map(wide, sets), pa.binary())]
+                yield pa.record_batch([*columns, pa.array(first, pa.list_(pa.int64()))], names=["id", "class", "n", "fp", "sketch", "folded", "wide", "first"])
 
     return run
 
@@ -225,12 +237,25 @@ def _pairs(least: Fraction):
     return run
 
 
-def _by_sketch(least: Fraction):
+def differ(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the size of the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)))).sum(dtype=np.int64))
+
+
+def _by_sketch(least: Fraction, same_size: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, q = least.numerator, least.denominator
         for b in batches:
-            if b.num_rows:
-                may = sketches_allow(_sketch_rows(b.column(3)), _sketch_rows(b.column(5)), b.column(2).to_numpy(), b.column(4).to_numpy(), least)
-                yield b.select([0, 1]).filter(pa.array(may))
+            if not b.num_rows:
+                continue
+            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+            if same_size:
+                may = sketches_allow(_sketch_rows(b.column(3)), _sketch_rows(b.column(5)), n, m, least)
+            else:
+                bits = np.array([differ(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)])
+                may = bits * (q + p) <= (q - p) * (n + m)
+            yield b.select([0, 1]).filter(pa.array(may))
 
     return run
 
@@ -257,19 +282,19 @@ def _sets(width: int):
     return run
 
 
-def _allowed(pairs: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs (a, b) of classes whose sketches do not rule them out."""
-    known = classes.select("class", "n", "sketch")
+def _allowed(pairs: DataFrame, classes: DataFrame, least: Fraction, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sketches of that name do not rule them out."""
+    known = classes.select("class", "n", F.col(name).alias("sketch"))
     for end in ("a", "b"):
         pairs = pairs.join(known.select(F.col("class").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
-    return pairs.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_by_sketch(least), "a long, b long")
+    return pairs.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_by_sketch(least, name != "wide"), "a long, b long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: Fraction) -> DataFrame:
     """The pairs (a, b) of classes whose Jaccard similarity is `least` or more."""
     pairs = cut(pairs)
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    asked = cut(ends.join(classes, "class").select("class", F.col("low").alias("id")))
+    asked = few(cut(ends.join(classes, "class").select("class", F.col("low").alias("id"))))
     sets = table(docs.join(asked, "id").select("class", "text").mapInArrow(_sets(width), "class long, set binary"), "sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
     return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_exact(least), "a long, b long"))
@@ -287,13 +312,17 @@ def components(docs: DataFrame, rows: DataFrame, seeds, width: int = WIDTH, leas
     square of pairs. Every other pair that shares a first shingle follows. Bounds from sizes, places and sketches drop
     only pairs that cannot be similar enough, and all others are counted exactly over the whole texts.
     """
-    classes = cut(rows.groupBy("class").agg(F.min("id").alias("low"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")))
+    classes = cut(rows.groupBy("class").agg(F.min("id").alias("low"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("folded").alias("folded"), F.min("wide").alias("wide")))
     firsts = rows.where("first is not null").select(F.posexplode("first").alias("at", "token"), "class", "n").select("token", "n", "class", F.col("at").cast("long").alias("at"))
     shared = cut(firsts.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(_shared, SHARED))
     near = seeds(classes)
     for other in ("class0", "class1"):
         near = near.unionByName(shared.where(F.col(other).isNotNull()).select(F.least("class", other).alias("a"), F.greatest("class", other).alias("b")))
-    links = _verified(_allowed(near.distinct(), classes, least), classes, docs, width, least)
+    # the small sketches rule out most pairs before the large ones travel, and these most of the rest before sets do
+    near = cut(_allowed(near.distinct(), classes, least, "folded"))
+    release(docs.sparkSession)
+    links = _verified(_allowed(near, classes, least, "wide"), classes, docs, width, least)
+    release(docs.sparkSession)
     linked = cut(connected_components(links).select(F.col("id").alias("class"), "component"))
     open_rows = shared.select("token", "n", "class", "at").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     sizes = cut(open_rows.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "blocks"))
@@ -301,6 +330,8 @@ def components(docs: DataFrame, rows: DataFrame, seeds, width: int = WIDTH, leas
     dealt = dealt.join(classes.select("class", "sketch"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "n", "class", "at", "component", "block", "sketch")
     rest = dealt.repartition("g").sortWithinPartitions("g", "n").mapInArrow(_pairs(least), "a long, b long").distinct()
+    rest = cut(_allowed(rest, classes, least, "wide"))
+    release(docs.sparkSession)
     links = links.unionByName(_verified(rest, classes, docs, width, least))
     linked = connected_components(links).select(F.col("id").alias("class"), "component")
     named = cut(classes.select("class", "low").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut, slices, table
+from .common import cut, few, slices, table
 from .components import connected_components, local_roots
 
 BITS = 64
@@ -263,10 +263,12 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, components) -> DataFrame:
     seen = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("ids")).first()
     if seen["n"] == seen["ids"]:
         found = components(docs.select(id_col, text_col), id_col, text_col)
-        return docs.join(found.where("id = component_id").select(F.col("id").alias(id_col)), id_col, "left_semi").select(docs.columns)
+        gone = cut(found.where("id <> component_id").select(F.col("id").alias(id_col)))
+        return docs.join(few(gone), id_col, "left_anti").select(docs.columns)
     numbered = table(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
     found = components(numbered.select("number", F.col("row")[text_col].alias("text")), "number", "text")
-    return numbered.join(found.where("id = component_id").select(F.col("id").alias("number")), "number", "left_semi").select("row.*")
+    gone = cut(found.where("id <> component_id").select(F.col("id").alias("number")))
+    return numbered.join(few(gone), "number", "left_anti").select("row.*")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:

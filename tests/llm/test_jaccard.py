@@ -73,3 +73,18 @@ def test_stage_on_the_documents(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()} == brute_kept(rows)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    """Any two sketches differ in no more bits than their sets in shingles, folded or of different sizes."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 100, 700, 5000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for keep, more in ((1.0, 0), (0.9, n // 12), (0.4, n)):
+            x = np.unique(base)
+            y = np.unique(np.concatenate((base[: int(n * keep)], rng.integers(0, 2**63, more).astype(np.uint64))))
+            apart = len(np.setxor1d(x, y))
+            assert jaccard.differ(jaccard.wide(x), jaccard.wide(y)) <= apart
+            a, b = jaccard.sketch(x), jaccard.sketch(y)
+            assert jaccard.differ(a, b) <= apart and jaccard.differ(jaccard.folded(a), jaccard.folded(b)) <= jaccard.differ(a, b)
+            assert jaccard.differ(jaccard.wide(x), jaccard.sketch(x)) == 0
