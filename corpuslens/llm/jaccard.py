@@ -8,6 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,12 +261,16 @@ def _by_sketch(least: Fraction, same_size: bool):
     return run
 
 
-def _exact(least: Fraction):
+def _exact(width: int, least: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            ok = []
+            ok, known = [], (None, None)
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                x, y = x.as_py(), y.as_py()
+                if known[0] != y:  # the rows of a class stand together
+                    known = (y, shingle_sets([unpack(y).decode()], width)[0])
+                x, y = shingle_sets([unpack(x).decode()], width)[0], known[1]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both * least.denominator >= least.numerator * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
@@ -273,13 +278,12 @@ def _exact(least: Fraction):
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in slices(batch, 1):
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["class", "set"])
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class, text) with the text compressed: about a quarter of what its shingles' hashes would take."""
+    pack = zstandard.ZstdCompressor().compress
+    for batch in batches:
+        for at, texts in slices(batch, 1):
+            yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array([pack(t.encode()) for t in texts], pa.binary())], names=["class", "packed"])
 
 
 def _allowed(pairs: DataFrame, classes: DataFrame, least: Fraction, name: str) -> DataFrame:
@@ -295,9 +299,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     pairs = cut(pairs)
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     asked = few(cut(ends.join(classes, "class").select("class", F.col("low").alias("id"))))
-    sets = table(docs.join(asked, "id").select("class", "text").mapInArrow(_sets(width), "class long, set binary"), "sets")
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_exact(least), "a long, b long"))
+    texts = table(docs.join(asked, "id").select("class", "text").mapInArrow(_packed, "class long, packed binary"), "texts")
+    both = pairs.join(texts.select(F.col("class").alias("a"), F.col("packed").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("packed").alias("text_b")), "b")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width, least), "a long, b long"))
 
 
 def components(docs: DataFrame, rows: DataFrame, seeds, width: int = WIDTH, least: Fraction = LEAST) -> DataFrame:
