@@ -286,6 +286,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array([pack(t.encode()) for t in texts], pa.binary())], names=["class", "packed"])
 
 
+def _asked(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The classes that stand in pairs (a, b), which are cut; the wide columns of all others stay where they are."""
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    return classes.join(few(cut(ends)), "class")
+
+
 def _allowed(pairs: DataFrame, classes: DataFrame, least: Fraction, name: str) -> DataFrame:
     """The pairs (a, b) of classes whose sketches of that name do not rule them out."""
     known = classes.select("class", "n", F.col(name).alias("sketch"))
@@ -297,8 +303,7 @@ def _allowed(pairs: DataFrame, classes: DataFrame, least: Fraction, name: str) -
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: Fraction) -> DataFrame:
     """The pairs (a, b) of classes whose Jaccard similarity is `least` or more."""
     pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    asked = few(cut(ends.join(classes, "class").select("class", F.col("low").alias("id"))))
+    asked = few(cut(_asked(classes, pairs).select("class", F.col("low").alias("id"))))
     texts = table(docs.join(asked, "id").select("class", "text").mapInArrow(_packed, "class long, packed binary"), "texts")
     both = pairs.join(texts.select(F.col("class").alias("a"), F.col("packed").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("packed").alias("text_b")), "b")
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width, least), "a long, b long"))
@@ -325,17 +330,17 @@ def components(docs: DataFrame, rows: DataFrame, seeds, width: int = WIDTH, leas
     # the small sketches rule out most pairs before the large ones travel, and these most of the rest before sets do
     near = cut(_allowed(near.distinct(), classes, least, "folded"))
     release(docs.sparkSession)
-    links = _verified(_allowed(near, classes, least, "wide"), classes, docs, width, least)
+    links = _verified(_allowed(near, _asked(classes, near), least, "wide"), classes, docs, width, least)
     release(docs.sparkSession)
-    linked = cut(connected_components(links).select(F.col("id").alias("class"), "component"))
+    linked = few(cut(connected_components(links).select(F.col("id").alias("class"), "component")))
     open_rows = shared.select("token", "n", "class", "at").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     sizes = cut(open_rows.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "blocks"))
     dealt = open_rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.join(classes.select("class", "sketch"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "n", "class", "at", "component", "block", "sketch")
-    rest = dealt.repartition("g").sortWithinPartitions("g", "n").mapInArrow(_pairs(least), "a long, b long").distinct()
-    rest = cut(_allowed(rest, classes, least, "wide"))
+    rest = cut(dealt.repartition("g").sortWithinPartitions("g", "n").mapInArrow(_pairs(least), "a long, b long").distinct())
     release(docs.sparkSession)
+    rest = cut(_allowed(rest, _asked(classes, rest), least, "wide"))
     links = links.unionByName(_verified(rest, classes, docs, width, least))
     linked = connected_components(links).select(F.col("id").alias("class"), "component")
     named = cut(classes.select("class", "low").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class")))
