@@ -22,7 +22,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 200_000
 #: Rows of one shingle that a task compares at once; larger groups go to tasks by pairs of blocks.
 BLOCK = 1000
 #: Bits of the parity sketch of a set, of its short form, and at most of the form that grows with the set.
-SKETCH, FOLDED, WIDE = 1024, 256, 1 << 16
+SKETCH, FOLDED, WIDE = 512, 256, 1 << 16
 #: Words whose hashes a worker keeps; then it starts anew.
 CACHED = 400_000
 
