@@ -14,8 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that a task holds, and gallery rows that it goes through, about.
-QUERY_BLOCK, GALLERY_PART = 8192, 1 << 18
+#: Queries that a task holds, and gallery rows that it goes through, about; gallery rows of one product: 256 x 8192 scores
+#: are 16 MB, however many rows a batch has.
+QUERY_BLOCK, GALLERY_PART, STEP = 8192, 1 << 18, 256
+#: The last bits of a product vary with its shape. Scores this near to a limit are computed anew, PAIRS at a time, by a sum
+#: that is the same for (a, b) and (b, a) in every task.
+NEAR, PAIRS = 1e-9, 1 << 16
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -58,13 +62,38 @@ def _meet(queries: DataFrame, gallery: DataFrame, start: Callable, schema: str)
                     if state is None:
                         q = pd.concat(asked)
                         state = start(q["id"].to_numpy(), unit_rows(_matrix(q["vec"].tolist())), q["x"].to_numpy())
-                    state.take(f["id"].to_numpy(), unit_rows(_matrix(f["vec"].tolist())), f["x"].to_numpy())
+                    for at in range(0, len(f), STEP):
+                        some = f.iloc[at : at + STEP]
+                        state.take(some["id"].to_numpy(), unit_rows(_matrix(some["vec"].tolist())), some["x"].to_numpy())
         if state is not None:
             yield state.result()
 
     return work.mapInPandas(run, schema)
 
 
+def _scores(ids: np.ndarray, x: np.ndarray, g: np.ndarray, y: np.ndarray, skip: bool) -> np.ndarray:
+    s = x @ y.T
+    if skip:
+        s[ids[:, None] == g[None]] = -np.inf
+    return s
+
+
+def _exact(x: np.ndarray, y: np.ndarray, q: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The cosines of the pairs of unit rows (q, g)."""
+    out = np.empty(len(q))
+    for at in range(0, len(q), PAIRS):
+        out[at : at + PAIRS] = (x[q[at : at + PAIRS]] * y[g[at : at + PAIRS]]).sum(1)
+    return out
+
+
+def _reached(s: np.ndarray, limit: np.ndarray, x: np.ndarray, y: np.ndarray, over: bool) -> np.ndarray:
+    """How many scores of each query are at or over a limit, or only over it; limit is a row or a column."""
+    sure = s > limit + NEAR
+    q, g = np.nonzero(sure ^ (s >= limit - NEAR))
+    exact, own = _exact(x, y, q, g), np.broadcast_to(limit, s.shape)[q, g]
+    return np.count_nonzero(sure, axis=1) + np.bincount(q[exact > own if over else exact >= own], minlength=len(s))
+
+
 class _Nearest:
     """The k nearest rows of each query, ties to the smaller id."""
 
@@ -78,13 +107,20 @@ class _Nearest:
         return new
 
     def take(self, g: np.ndarray, y: np.ndarray, _: np.ndarray) -> None:
-        s = self.x @ y.T
-        if self.skip:
-            s = np.where(self.ids[:, None] == g[None], -np.inf, s)
-        sims, found = np.concatenate((self.sims, s), 1), np.concatenate((self.found, np.broadcast_to(g, s.shape)), 1)
-        # the rows come by id, so that a stable sort leaves ties with the smaller one
-        top = np.argsort(-sims, axis=1, kind="stable")[:, : self.k]
-        self.sims, self.found = np.take_along_axis(sims, top, 1), np.take_along_axis(found, top, 1)
+        s = _scores(self.ids, self.x, g, y, self.skip)
+        s[:, ~np.isfinite(y).all(1)] = -np.inf
+        least, over = self.sims[:, -1], len(g) - self.k
+        if over > 0 and not np.isfinite(least).all():
+            least = np.maximum(least, np.partition(s, over, axis=1)[:, over])
+        q, j = np.nonzero((s >= (least - NEAR)[:, None]) & (s > -np.inf))
+        if not len(q):
+            return
+        rows, of = np.unique(q, return_inverse=True)
+        owner = np.concatenate((np.repeat(np.arange(len(rows)), self.k), of))
+        sims, found = np.concatenate((self.sims[rows].ravel(), _exact(self.x, y, q, j))), np.concatenate((self.found[rows].ravel(), g[j]))
+        order = np.lexsort((found, -sims, owner))
+        top = order[np.searchsorted(owner[order], np.arange(len(rows)))[:, None] + np.arange(self.k)]
+        self.sims[rows], self.found[rows] = sims[top], found[top]
 
     def result(self) -> pd.DataFrame:
         keep = np.isfinite(self.sims).ravel()
@@ -103,10 +139,8 @@ class _Support:
         return new
 
     def take(self, g: np.ndarray, y: np.ndarray, radius: np.ndarray) -> None:
-        s = self.x @ y.T
-        if self.skip:
-            s = np.where(self.ids[:, None] == g[None], -np.inf, s)
-        self.hits += (s >= radius[None]).sum(1)
+        s = _scores(self.ids, self.x, g, y, self.skip)
+        self.hits += _reached(s, radius[None], self.x, y, over=False)
         self.nn = np.maximum(self.nn, s.max(1))
 
     def result(self) -> pd.DataFrame:
@@ -122,8 +156,8 @@ class _Rank:
         return new
 
     def take(self, g: np.ndarray, y: np.ndarray, _: np.ndarray) -> None:
-        s = np.where(self.ids[:, None] == g[None], -np.inf, self.x @ y.T)
-        self.higher += (s > self.positive[:, None]).sum(1)
+        s = _scores(self.ids, self.x, g, y, True)
+        self.higher += _reached(s, self.positive[:, None], self.x, y, over=True)
         self.best = np.maximum(self.best, s.max(1))
 
     def result(self) -> pd.DataFrame:
@@ -155,7 +189,9 @@ def kth_self_cosine(gallery: DataFrame, k: int) -> DataFrame:
 def support(queries: DataFrame, gallery: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """(q_id, covered, density, nn): whether a gallery row has the query within its own k-th neighbour's radius, the number of
     such rows over k, and the nearest cosine. skip_self leaves out the gallery row of the query's own id."""
-    ready = gallery.join(kth_self_cosine(gallery, k), "id").select("id", "vec", F.col("radius").alias("x"))
+    from ..sources.scratch import held
+
+    ready = gallery.join(held(kth_self_cosine(gallery, k)), "id").select("id", "vec", F.col("radius").alias("x"))
     out = _meet(_plain(queries), ready, _Support(skip_self), "q_id long, hits long, nn double")
     g = out.groupBy("q_id").agg(F.sum("hits").alias("hits"), F.max("nn").alias("nn"))
     return g.select("q_id", (F.col("hits") > 0).alias("covered"), (F.col("hits") / k).alias("density"), "nn")

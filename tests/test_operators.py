@@ -300,6 +300,44 @@ def test_scans_in_many_blocks(spark, monkeypatch):
         assert len(ranks) == 300 and all(np.isclose(r.positive, 1) for r in ranks.values())
 
 
+def test_a_scan_holds_few_scores_at_a_time(spark, monkeypatch):
+    """However many gallery rows a batch has, a product has at most STEP of them; ties by copies go to the smaller id and a
+    row's k-th neighbour stands within its radius in whatever blocks both are met."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    from corpuslens.operators import embed
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    x[100:200] = x[50]
+    u = embed.unit_rows(x)
+    peak = []
+
+    def meet(start):
+        df = spark.createDataFrame([(1, [1.0], 0.0)], "id long, vec array<double>, x double")
+        monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: run)
+        run = embed._meet(df, df, start, "")
+        frames = [pd.DataFrame({"g": 0, "kind": kind, "id": np.arange(3000), "vec": list(x), "x": radius * kind}) for kind in (0, 1)]
+        tracemalloc.start()
+        out = pd.concat(run(iter(frames)))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return out
+
+    radius = 0.0
+    near = meet(embed._Nearest(4, True))
+    assert peak[0] < 3000 * 3000 * 8
+    s = np.array([(u * row).sum(1) for row in u])
+    np.fill_diagonal(s, -np.inf)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :4]
+    assert (near["g_id"].to_numpy().reshape(-1, 4) == want).all()
+    radius = near["sim"].to_numpy().reshape(-1, 4)[:, 3]
+    assert (meet(embed._Support(True))["hits"].to_numpy() == (s >= radius[None]).sum(1)).all()
+    assert peak[1] < 3000 * 3000 * 8
+
+
 def test_pareto_over_many_tasks(spark):
     import numpy as np
     from corpuslens.operators import claims
