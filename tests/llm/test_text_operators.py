@@ -275,6 +275,33 @@ def test_like_documents_share_a_shard(spark, monkeypatch):
     assert np.mean([len(x) for x in subjects_of.values()]) < 1.5
 
 
+def test_the_order_counts_every_document(spark, monkeypatch):
+    """A subject of few documents among very many sorts together: its terms' strength is counted over all documents, and
+    what stands in the sort keys is what the whole table says."""
+    seen = []
+    real = packing._key_batches
+    monkeypatch.setattr(packing, "_key_batches", lambda strength: seen.append(strength) or real(strength))
+    rows = [(k, "the of and to in" if k % 2500 else f"the of zebra giraffe word{k}") for k in range(10_000)]
+    packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).count()
+    w = packing.words(public_tokenizers.path("word_bpe_49k.json"))
+    df = np.zeros(1 << 16)
+    for _, t in rows:
+        df[np.unique(np.frombuffer(w.encode([t])[0], "<u2"))] += 1
+    assert np.allclose(seen[0], np.where(df < 2, 0.0, packing.inverse(df, int(df.max()))))
+    zebra = w.t.encode("zebra", add_special_tokens=False).ids
+    assert df[zebra[-1]] == 4 and seen[0][zebra[-1]] > 0
+
+
+def test_words_of_a_column_slice():
+    """A slice of a column with nulls, empty texts, every kind of white space and words that are not cached."""
+    import pyarrow as pa
+
+    w = packing.words(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["left out", None, "", "One two,\nthree...\tfour\r\rfive ", " ", "ΑΣ, İx. <|endoftext|> done.", "y" * 300 + "!", "Größe; año? 3. x:", "\x0bA\x0c b\u00a0c\u3000d!"]
+    ids, at = w.flat(pa.array([*texts, "left out"]).slice(1, len(texts) - 1))
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [[*w.t.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[1:]]
+
+
 @settings(max_examples=200, deadline=None)
 @given(text=ALPHABET)
 def test_words_equal_the_tokenizer(text):
