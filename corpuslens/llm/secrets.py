@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import change_rows, slices
+from .common import caches, change_rows, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -48,6 +48,9 @@ def _encoding(ranks_file: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+caches.append(_encoding)
+
+
 def is_known(s: str) -> bool:
     """Whether the string is a UUID, a hex digest or an identifier."""
     return bool(UUID.fullmatch(s) or (len(s) in DIGESTS and HEX_ONLY.fullmatch(s)) or IDENTIFIER.fullmatch(s))

@@ -292,6 +292,18 @@ def test_the_order_counts_every_document(spark, monkeypatch):
     assert df[zebra[-1]] == 4 and seen[0][zebra[-1]] > 0
 
 
+def test_a_worker_gives_back_what_other_stages_left():
+    """Before packing, models of other stages leave the worker; its own stays."""
+    from corpuslens.llm import common
+
+    w = packing.words(public_tokenizers.path("word_bpe_49k.json"))
+    secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    common.lean(packing.words)
+    assert secrets._encoding.cache_info().currsize == 0 and packing.words(public_tokenizers.path("word_bpe_49k.json")) is w
+    common.lean()
+    assert packing.words.cache_info().currsize == 0
+
+
 def test_words_of_a_column_slice():
     """A slice of a column with nulls, empty texts, every kind of white space and words that are not cached."""
     import pyarrow as pa
