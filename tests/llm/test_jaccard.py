@@ -60,6 +60,31 @@ def test_stage_equals_brute_force(spark, monkeypatch, block):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == brute_kept(rows)
 
 
+def test_a_pair_of_long_unlike_texts_meets_about_once(spark, monkeypatch):
+    """Versions of a long text that stay under the limit share hundreds of first shingles: rows go by pairs, not by these."""
+    import corpus_pipeline
+
+    rng, found, meetings = np.random.default_rng(9), [], jaccard.meetings
+    base = [f"w{x}" for x in rng.integers(0, 5000, 3000)]
+    rows = []
+    for k in range(14):
+        own = list(base)
+        for at in rng.choice(len(own), 40 if k < 2 else 110, replace=False):
+            own[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(own)))
+
+    def counted(*args):
+        pairs = meetings(*args)
+        found.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard, "meetings", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == brute_kept(rows)
+    [(given, pairs)] = found
+    assert pairs <= 14 * 13 // 2 and given <= 1.2 * pairs
+
+
 def test_odd_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "one two three four five six"), (3, "one two three four five six"), (3, "another text"), (None, None)], "doc_id long, text string")
     assert sorted(r.text or "" for r in simhash.keep_dissimilar(docs).collect()) == ["", "another text", "one two three four five six"]
@@ -88,3 +113,12 @@ def test_sketches_rule_out_no_similar_pair():
             a, b = jaccard.sketch(x), jaccard.sketch(y)
             assert jaccard.differ(a, b) <= apart and jaccard.differ(jaccard.folded(a), jaccard.folded(b)) <= jaccard.differ(a, b)
             assert jaccard.differ(jaccard.wide(x), jaccard.sketch(x)) == 0
+
+
+def test_later_stages_give_back_the_hashes_of_words():
+    from corpuslens.llm.common import lean
+
+    jaccard.shingle_sets(["one two three four five six"])
+    assert jaccard._hashes
+    lean()
+    assert not jaccard._hashes
