@@ -321,6 +321,60 @@ def test_words_equal_the_tokenizer(text):
     assert np.frombuffer(w.encode([text])[0], "<u2").tolist() == w.t.encode(text, add_special_tokens=False).ids + [2]
 
 
+MIXED = st.text(alphabet=st.sampled_from(list("abJTZéÉßÿ×÷À.,!-'<|>ΣİKя日 \n\t\u030c\u0308\u05b0\u00a0😀3")), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(MIXED | st.sampled_from(["<|endoftext|>", "A<|EndOfText|>.", "..", "a.", ".b", ""]), max_size=6))
+def test_words_of_rows_equal_the_tokenizer(texts):
+    w = packing.words(public_tokenizers.path("word_bpe_49k.json"))
+    assert [np.frombuffer(x, "<u2").tolist() for x in w.encode(texts)] == [[*w.t.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+@pytest.mark.parametrize("text", ["J\u030ca", "bT\u0308", "H\u0331.", "W\u030a", "J\u05b0\u030c", "É\u0323x"])
+def test_capitals_that_compose_when_small_only(text):
+    w = packing.words(public_tokenizers.path("word_bpe_49k.json"))
+    assert np.frombuffer(w.encode([text])[0], "<u2").tolist() == [*w.t.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_a_new_word_costs_no_python_calls():
+    """What the packing's time goes to: words seen for the first time, in several forms. They pass through arrays; a call a
+    word and form was a third of the CPU time."""
+    import cProfile
+    import pstats
+
+    rng = np.random.default_rng(4)
+    words = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyzéñß"), (20_000, 9))]
+    text = " ".join(f"{w} {w.capitalize()}, {w}." for w in words)
+    w = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    p = cProfile.Profile()
+    p.enable()
+    ids = w.encode([text])[0]
+    p.disable()
+    assert pstats.Stats(p).total_calls < len(words) / 4
+    assert np.frombuffer(ids, "<u2").tolist() == [*w.t.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_kept_words_start_anew(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 3)
+    w = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("one two three four", "five", "one, ONE! größe", "x" * 300) * 2:
+        assert np.frombuffer(w.encode([text])[0], "<u2").tolist() == [*w.t.encode(text, add_special_tokens=False).ids, 2]
+        assert len(w.known) <= 8
+
+
+def test_strongest_terms_by_brute_force():
+    """Three heaviest terms of each document, ties by id, those without strength left out; documents of one id too."""
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 40, int(rng.integers(1, 60))).astype("<u2") for _ in range(200)] + [np.array([65535], "<u2")]
+    strength = rng.integers(0, 4, 1 << 16) / 2
+    got = packing.strongest(np.concatenate(docs), np.append(0, np.cumsum([len(d) for d in docs])), strength)
+    for d, key in zip(docs, got.tolist(), strict=True):
+        w = {t: strength[t] * n / (n + packing.K1) for t, n in zip(*(x.tolist() for x in np.unique(d, return_counts=True)), strict=True)}
+        top = sorted((-x, t) for t, x in w.items() if x > 0)[:3]
+        assert key == sum(t << (32 - 16 * k) for k, (_, t) in enumerate(top))
+
+
 # ---- classifiers
 def test_factorisation_machine_identity():
     rng = np.random.default_rng(1)
